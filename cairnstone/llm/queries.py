@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .ngram_join import op4_ngram_join
 from .sharding import op2_shard
+from .substring import op6_substring_dedup
 
-QUERIES = {"op2_shard": op2_shard}
+QUERIES = {"op2_shard": op2_shard, "op4_ngram_join": op4_ngram_join, "op6_substring_dedup": op6_substring_dedup}
 ORACLES: dict[str, str] = {}
