@@ -35,10 +35,9 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        n = max(n, 1 << 16)
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
-            x = np.full(n, U(b))
+            x = np.full(max(n, 1 << 16), U(b))
             x[0] = U(1)
             out.append(np.multiply.accumulate(x))
         have = _powers[base] = out

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from . import line_dedup
+from .decontaminate import op1_decontaminate
+from .line_dedup import op3_line_dedup
 from .ngram_join import op4_ngram_join
 from .sharding import op2_shard
 from .substring import op6_substring_dedup
 
-QUERIES = {"op2_shard": op2_shard, "op4_ngram_join": op4_ngram_join, "op6_substring_dedup": op6_substring_dedup}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_shard": op2_shard,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_ngram_join": op4_ngram_join,
+    "op6_substring_dedup": op6_substring_dedup,
+}
+ORACLES = {"op3_line_dedup": line_dedup.ORACLE}
