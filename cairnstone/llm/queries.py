@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import line_dedup, products
+from .bpe import op5_bpe
 from .decontaminate import op1_decontaminate
 from .line_dedup import op3_line_dedup
 from .ngram_join import op4_ngram_join
+from .products import op9_top_products
 from .sharding import op2_shard
 from .substring import op6_substring_dedup
 
@@ -14,6 +16,8 @@ QUERIES = {
     "op2_shard": op2_shard,
     "op3_line_dedup": op3_line_dedup,
     "op4_ngram_join": op4_ngram_join,
+    "op5_bpe": op5_bpe,
     "op6_substring_dedup": op6_substring_dedup,
+    "op9_top_products": op9_top_products,
 }
-ORACLES = {"op3_line_dedup": line_dedup.ORACLE}
+ORACLES = {"op3_line_dedup": line_dedup.ORACLE, "op9_top_products": products.ORACLE}
