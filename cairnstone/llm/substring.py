@@ -60,7 +60,14 @@ def _fingerprints(window: int, seed: int):
     return run
 
 
-def _windows(window: int, seed: int, wanted):
+def _rows(at: np.ndarray, row: np.ndarray, first: np.ndarray, h: np.ndarray, h2: np.ndarray, n: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
+    columns = [pa.array(K.signed(h)), pa.array((h2 >> K.U(32)).astype(np.uint32).view(np.int32)), batch.column("doc_id").take(pa.array(row)), pa.array((at - first[row]).astype(np.int32)), pa.array(n.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, ["h", "h2", "doc_id", "at", "n"])
+
+
+def _extended(window: int, seed: int, wanted, blocks, whole: bool):
+    """Around each wanted seed, the runs that have it as their fingerprint: as blocks of neighbours if whole, else each of those in the wanted blocks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if wanted is None else np.frombuffer(wanted.value, np.int64)
         for batch in K.slices(batches):
@@ -75,14 +82,26 @@ def _windows(window: int, seed: int, wanted):
                 for r in np.unique(row):
                     of = row == r
                     keep[of] = np.isin(least[of], np.array(own[int(r)].as_py() or [], np.int64).view(K.U))
-            at = at[keep]
+            at, least = at[keep], least[keep]
             if not len(at):
                 continue
             row = _document(first, at)
             a = K.rolling(h, window, 0xD1342543DE82EF95)[at]
-            b = (least[keep] ^ K.rolling(h, window, 0xAF251AF3B0F025B5)[at]) >> K.U(32)
-            ids = batch.column("doc_id").take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(K.signed(a)), pa.array(b.astype(np.uint32).view(np.int32)), ids, pa.array((at - first[row]).astype(np.int32))], ["h", "h2", "doc_id", "at"])
+            b = least ^ K.rolling(h, window, 0xAF251AF3B0F025B5)[at]
+            new = np.ones(len(at), bool)
+            new[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)
+            start = np.flatnonzero(new)
+            n = np.diff(np.append(start, len(at)))
+            last = start + n - 1
+            # First and last run overlap, so with their number they tell the block's words.
+            k, k2 = K.mix(a[start] * K.U(3) + a[last] + n.astype(K.U)), K.mix(b[start] * K.U(3) + b[last] + n.astype(K.U))
+            if whole:
+                yield _rows(at[start], row[start], first, k, k2, n, batch)
+                continue
+            ids = batch.column("doc_id").take(pa.array(row[start])).fill_null(_LAST).to_numpy()
+            keep = np.repeat(K.in_bitmap(np.frombuffer(blocks.value, np.int64), FILTER_BITS, k.view(np.int64) ^ ids), n)
+            if keep.any():
+                yield _rows(at[keep], row[keep], first, a[keep], b[keep], np.ones(keep.sum()), batch)
 
     return run
 
@@ -98,7 +117,9 @@ def _cut(window: int):
                     gone.append(0)
                     spans.append([])
                 else:
-                    a = np.unique(at.values.to_numpy())
+                    n = at.values.field("n").to_numpy().astype(np.int64)
+                    a = np.repeat(at.values.field("at").to_numpy() - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    a = np.unique(a)
                     breaks = np.flatnonzero(np.diff(a) > window) + 1
                     spans.append([{"start": int(s[0]), "end": int(s[-1]) + window} for s in np.split(a, breaks)])
                     gone.append(sum(s["end"] - s["start"] for s in spans[-1]))
@@ -117,25 +138,33 @@ def split_words(text: str | None) -> list[str]:
 
 
 def repeated_starts(docs: DataFrame, window: int = 50, seed: int = 8, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """(doc_id, at): first word of each run of `window` words that also starts in a document with a smaller doc_id."""
+    """(doc_id, at, n): n consecutive runs of `window` words, the first at word `at`, that also start in documents with smaller doc_ids."""
+    sc = docs.sparkSession.sparkContext
     prints = docs.mapInArrow(_fingerprints(window, seed), "seed long, doc_id long")
     order = F.coalesce("doc_id", F.lit(_LAST))
     seeds = materialise(prints.groupBy("seed").agg(F.min(order).alias("a"), F.max(order).alias("b")).where("a <> b").select("seed"), "seeds")
-    kind = "h long, h2 int, doc_id long, at int"
     if seeds.count() <= 1 << (filter_bits - 2):
-        wanted = docs.sparkSession.sparkContext.broadcast(bitmap(seeds, "seed", FILTER_BITS))
-        windows = docs.mapInArrow(_windows(window, seed, wanted), kind)
+        wanted, around = sc.broadcast(bitmap(seeds, "seed", FILTER_BITS)), docs
     else:
         own = prints.join(seeds, "seed").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
-        windows = docs.join(own, docs["doc_id"].eqNullSafe(own["doc_id"])).select(docs["doc_id"], "text", "seeds").mapInArrow(_windows(window, seed, None), kind)
-    low = windows.groupBy("h", "h2").agg(F.min(order).alias("low"), F.max(order).alias("high")).where("low <> high").drop("high")
-    return windows.join(low, ["h", "h2"]).where(F.coalesce("doc_id", F.lit(_LAST)) > F.col("low")).select("doc_id", "at")
+        wanted, around = None, docs.join(own, docs["doc_id"].eqNullSafe(own["doc_id"])).select(docs["doc_id"], "text", "seeds")
+
+    def meet(rows: DataFrame) -> DataFrame:
+        return rows.join(rows.groupBy("h", "h2").agg(F.min(order).alias("low")), ["h", "h2"])
+
+    kind = "h long, h2 int, doc_id long, at int, n int"
+    # Equal blocks meet first. Only a block's first document goes on to meet others run by run.
+    blocks = materialise(meet(around.mapInArrow(_extended(window, seed, wanted, None, True), kind)), "blocks")
+    mine = blocks.where(order == F.col("low")).select(F.col("h").bitwiseXOR(order).alias("key"))
+    chosen = sc.broadcast(bitmap(mine, "key", FILTER_BITS))
+    runs = meet(around.mapInArrow(_extended(window, seed, wanted, chosen, False), kind))
+    return blocks.unionByName(runs).where(order > F.col("low")).select("doc_id", "at", "n")
 
 
 def cut_repeats(docs: DataFrame, window: int = 50, seed: int = 8, id: str = "doc_id", text: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, removed): kept has the words left, joined by one space; removed the spans [start, end) of words."""
     docs = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    starts = materialise(repeated_starts(docs, window, seed, filter_bits).distinct().groupBy("doc_id").agg(F.collect_list("at").alias("starts")), "starts")
+    starts = materialise(repeated_starts(docs, window, seed, filter_bits).groupBy("doc_id").agg(F.collect_set(F.struct("at", "n")).alias("starts")), "starts")
     joined = docs.join(starts, docs["doc_id"].eqNullSafe(starts["doc_id"]), "left").select(docs["doc_id"], "text", "starts")
     return joined.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept string, removed array<struct<start:long,end:long>>")
 
