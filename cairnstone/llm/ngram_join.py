@@ -222,8 +222,12 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id: str =
     by = Window.partitionBy("token").orderBy("n", "fp")
     me = F.struct("n", "fp")
     lists = docs.select("text").mapInArrow(_postings(k, lower, percent, table), "token long, fp long, n long")
-    lists = lists.select("token", "fp", "n", F.lag(me).over(by).alias("prev"), F.lead(me).over(by).alias("next"), F.first(me).over(by).alias("head"))
-    lists = materialise(lists.where("prev is not null or next is not null").drop("next"), "lists")
+    lists = lists.select("token", "fp", "n", F.lag(me).over(by).alias("prev"), F.lead(me).over(by).alias("next"), F.first(me).over(by).alias("head"), F.lag(me, 2).over(by).alias("prev2"), F.lead(me, 2).over(by).alias("next2"))
+    # A pair of one list that is neither (head, row) nor (predecessor, row) has two such rows, by the order of sizes.
+    later = (F.col("prev2.fp") != F.col("head.fp")) & (100 * F.col("prev2.n") >= percent * F.col("n"))
+    earlier = (F.col("fp") != F.col("head.fp")) & (100 * F.col("n") >= percent * F.col("next2.n"))
+    crowded = F.coalesce(later, F.lit(False)) | F.coalesce(earlier, F.lit(False))
+    lists = materialise(lists.where("prev is not null or next is not null").select("token", "fp", "n", "prev", "head", crowded.alias("crowded")), "lists")
 
     def paired(with_: str) -> DataFrame:
         other = F.col(with_)
@@ -254,8 +258,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id: str =
     label = materialise(components(links, "a", "b"), "labels")
 
     # Nodes of one list that are still apart meet pairwise.
-    tagged = lists.select("token", "fp", "n").join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("c", F.coalesce("component", "fp"))
-    apart = tagged.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("rows > 2 and c0 <> c1").select("token")
+    tagged = lists.where("crowded").select("token", "fp").join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("c", F.coalesce("component", "fp"))
+    apart = tagged.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("token")
     rest = materialise(tagged.join(apart, "token", "left_semi").select("token", "fp", "c").join(sets.select("fp", "n", *SKETCH), "fp"), "rest")
     x, y = rest.alias("x"), rest.alias("y")
     met = (F.col("x.token") == F.col("y.token")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.c") != F.col("y.c"))

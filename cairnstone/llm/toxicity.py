@@ -4,15 +4,15 @@ A character trigram model of the whole corpus is the source. The channel writes
 letters as look-alikes, puts separators between them, and repeats them. Each
 obfuscated word is a lattice of what its characters may stand for, and Viterbi
 decoding under the source model restores the likeliest word. The restored text
-is then scored by a lexicon of words and word beginnings, learnt from a bounded
-sample of labelled rows (SAMPLE_ROWS of each class at most): features that are
-mostly in toxic rows combine as independent causes (noisy or).
+is then scored by a lexicon of words and word beginnings that speak for toxic
+rows: a logistic regression over how many distinct words of a text have each,
+fitted to a bounded sample of labelled rows (SAMPLE_ROWS of each class at most).
 
 A lattice is decoded only if its skeleton (look-alikes merged, separators
 dropped, repeats collapsed) is that of a lexicon word's: no other can restore to
 one, so nothing is lost.
 
-A null or empty text has no features and takes the base score. With nothing to
+A null or empty text has no features and takes the score of the intercept. With nothing to
 learn from, the lexicon is empty. Repeated rows give equal rows, texts are read
 whole, empty tables give empty results. Only text is an input of a score.
 """
@@ -33,8 +33,11 @@ from .shared import load, materialise
 
 SAMPLE_ROWS = 6000
 #: A feature's least share of toxic rows; its log likelihood ratio against the base rate must exceed ln(features) + EVIDENCE.
-LEAST_SHARE = 0.5
+LEAST_SHARE = 0.35
 EVIDENCE = 3.0
+#: Features of the regression, those with most evidence.
+LEXICON = 400
+RIDGE = 1.0
 #: Rows at the base rate that a feature's share starts from.
 PRIOR_ROWS = 2.0
 PREFIXES = range(4, 8)
@@ -179,19 +182,52 @@ class Reader:
         at = [whole[i : i + n] for n in self.words for i in range(len(whole) - n + 1)]
         return [f for word in read.split() for f in self._of(word)] + [w for w in at if w in self.weights]
 
-    def score(self, text: str | None) -> float:
-        found: set[str] = set()
+    def count(self, text: str | None) -> Counter:
+        """How many distinct words of the text have each feature of the lexicon."""
+        found: Counter = Counter()
         if text:
             words, stretches = tokens(text)
             for w in words:
                 got = self.known.get(w)
-                found.update(self.features(w) if got is None else got)
+                if got is None:
+                    got = self.features(w)
+                if got:
+                    found.update(got)
             for s in stretches:
                 found.update(self.spaced(s))
-        rest = 1 - self.base
-        for f in found:
-            rest *= 1 - self.weights[f]
-        return 1 - rest
+        return found
+
+    def score(self, text: str | None) -> float:
+        x = self.base + sum(self.weights[f] * math.log1p(n) for f, n in self.count(text).items())
+        return 1 / (1 + math.exp(-min(max(x, -50), 50)))
+
+
+def regress(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = RIDGE, steps: int = 25) -> np.ndarray:
+    """Weights of a ridge logistic regression by Newton's method; the last is the intercept, which isn't shrunk."""
+    x = np.concatenate((x, np.ones((len(x), 1))), 1)
+    shrink = np.full(x.shape[1], ridge)
+    shrink[-1] = 1e-3
+    beta = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        gradient = x.T @ (w * (y - p)) - shrink * beta
+        curve = (x.T * (w * p * (1 - p))) @ x + np.diag(shrink)
+        step = np.linalg.solve(curve, gradient)
+        beta += step
+        if np.abs(step).max() < 1e-4:
+            break
+    return beta
+
+
+def _sample_counts(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        reader = Reader(m.weights, m.base, m.source)
+        for batch in K.slices(batches):
+            found = [reader.count(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.int64()))], ["y", "feature", "n"])
+
+    return run
 
 
 def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     source = source_model(docs)
     sample, sizes, kept = X.labelled(labels, "toxic", sample_rows)
     if not sizes.get(1) or not kept.get(1):
-        return Model({}, 0.01, source)
+        return Model({}, -4.0, source)
     up = {y: sizes[y] / kept[y] for y in kept}
     rows = docs.where("text is not null").join(F.broadcast(sample), "doc_id").select("y", "text")
     found = rows.mapInArrow(_sample_features, "feature string, y int, n long")
@@ -234,9 +270,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     part = F.col("n1") / (F.col("n0") + F.col("n1"))
     ratio = F.col("n1") * F.log(part / here) + F.when(F.col("n0") > 0, F.col("n0") * F.log((1 - part) / max(1 - here, 1e-9))).otherwise(F.lit(0.0))
     enough = math.log(found.count() + 1) + EVIDENCE
-    # The sample is bounded, and so is what it says of features.
-    lexicon = found.where((F.col("n1") > 0) & (part > here) & (share >= LEAST_SHARE)).where(ratio >= enough).select("feature", share.alias("p")).toPandas()
-    return Model(dict(zip(lexicon["feature"], lexicon["p"].clip(upper=0.999))), min(0.02, rate / 4), source)
+    lexicon = found.where((F.col("n1") > 0) & (part > here) & (share >= LEAST_SHARE)).where(ratio >= enough).orderBy(F.desc(ratio), "feature").limit(LEXICON).select("feature").toPandas()["feature"].tolist()
+    model = Model(dict.fromkeys(lexicon, 0.0), 0.0, source)
+    counted = rows.mapInArrow(_sample_counts(docs.sparkSession.sparkContext.broadcast(model)), "y int, feature array<string>, n array<long>").toPandas()
+    at, x = {f: i for i, f in enumerate(lexicon)}, np.zeros((len(counted), len(lexicon)))
+    for i, (features, n) in enumerate(zip(counted["feature"], counted["n"])):
+        for f, k in zip(features, n):
+            x[i, at[f]] = math.log1p(k)
+    y = counted["y"].to_numpy(np.float64)
+    beta = regress(x, y, np.where(y == 1, up[1], up.get(0, 1.0))) if len(y) else np.array([-4.0])
+    return Model(dict(zip(lexicon, beta.tolist())), float(beta[-1]), source)
 
 
 def _score(model):
