@@ -8,7 +8,9 @@ _DASH = "—"
 
 
 def _fixed(v: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", v)
+    """Rounds the exact binary value; exact ties go up."""
+    v = F.when(v * 4 == F.floor(v * 4), v + 1e-9).otherwise(v)
+    return F.call_function("format_number", v, F.lit("0." + "0" * digits if digits else "0"))
 
 
 def _unit(v: Column, i: Column, names: list[str]) -> Column:
