@@ -9,8 +9,8 @@ extends a seed to all its partners at once, without forming pairs of them. A
 word goes if a run that covers it also starts in a document with a smaller
 doc_id; overlapping runs merge into maximal repeats.
 
-Null and empty texts have no words and lose none. Rows with equal doc_id are one
-document in that neither is smaller; each keeps its own row. A null doc_id is
+Null and empty texts have no words and lose none. Of rows with equal doc_id
+neither is smaller; each keeps its own row. A null doc_id is
 larger than any other, and two nulls don't remove from each other. Empty tables
 give empty results, and columns other than id and text are not read.
 """
@@ -61,8 +61,9 @@ def _fingerprints(window: int, seed: int):
 
 
 def _rows(at: np.ndarray, row: np.ndarray, first: np.ndarray, h: np.ndarray, h2: np.ndarray, n: np.ndarray, batch: pa.RecordBatch) -> pa.RecordBatch:
-    columns = [pa.array(K.signed(h)), pa.array((h2 >> K.U(32)).astype(np.uint32).view(np.int32)), batch.column("doc_id").take(pa.array(row)), pa.array((at - first[row]).astype(np.int32)), pa.array(n.astype(np.int32))]
-    return pa.RecordBatch.from_arrays(columns, ["h", "h2", "doc_id", "at", "n"])
+    rows = pa.array(row)
+    columns = [pa.array(K.signed(h)), pa.array((h2 >> K.U(32)).astype(np.uint32).view(np.int32)), batch.column("doc_id").take(rows), batch.column("v").take(rows), pa.array((at - first[row]) * 64 + n)]
+    return pa.RecordBatch.from_arrays(columns, ["h", "h2", "doc_id", "v", "place"])
 
 
 def _extended(window: int, seed: int, wanted, blocks, whole: bool):
@@ -101,7 +102,7 @@ def _extended(window: int, seed: int, wanted, blocks, whole: bool):
             ids = batch.column("doc_id").take(pa.array(row[start])).fill_null(_LAST).to_numpy()
             keep = np.repeat(K.in_bitmap(np.frombuffer(blocks.value, np.int64), FILTER_BITS, k.view(np.int64) ^ ids), n)
             if keep.any():
-                yield _rows(at[keep], row[keep], first, a[keep], b[keep], np.ones(keep.sum()), batch)
+                yield _rows(at[keep], row[keep], first, a[keep], b[keep], np.ones(keep.sum(), np.int64), batch)
 
     return run
 
@@ -138,7 +139,9 @@ def split_words(text: str | None) -> list[str]:
 
 
 def repeated_starts(docs: DataFrame, window: int = 50, seed: int = 8, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """(doc_id, at, n): n consecutive runs of `window` words, the first at word `at`, that also start in documents with smaller doc_ids."""
+    """(doc_id, v, at, n): n consecutive runs of `window` words, the first at word `at`, that also start in documents with smaller doc_ids.
+
+    docs: doc_id, text, and v, a hash of the text that tells rows of one doc_id apart. window - seed is at most 62."""
     sc = docs.sparkSession.sparkContext
     prints = docs.mapInArrow(_fingerprints(window, seed), "seed long, doc_id long")
     order = F.coalesce("doc_id", F.lit(_LAST))
@@ -147,25 +150,25 @@ def repeated_starts(docs: DataFrame, window: int = 50, seed: int = 8, filter_bit
         wanted, around = sc.broadcast(bitmap(seeds, "seed", FILTER_BITS)), docs
     else:
         own = prints.join(seeds, "seed").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
-        wanted, around = None, docs.join(own, docs["doc_id"].eqNullSafe(own["doc_id"])).select(docs["doc_id"], "text", "seeds")
+        wanted, around = None, docs.join(own, docs["doc_id"].eqNullSafe(own["doc_id"])).select(docs["doc_id"], "text", "v", "seeds")
 
     def meet(rows: DataFrame) -> DataFrame:
         return rows.join(rows.groupBy("h", "h2").agg(F.min(order).alias("low")), ["h", "h2"])
 
-    kind = "h long, h2 int, doc_id long, at int, n int"
+    kind = "h long, h2 int, doc_id long, v int, place long"
     # Equal blocks meet first. Only a block's first document goes on to meet others run by run.
     blocks = materialise(meet(around.mapInArrow(_extended(window, seed, wanted, None, True), kind)), "blocks")
     mine = blocks.where(order == F.col("low")).select(F.col("h").bitwiseXOR(order).alias("key"))
     chosen = sc.broadcast(bitmap(mine, "key", FILTER_BITS))
     runs = meet(around.mapInArrow(_extended(window, seed, wanted, chosen, False), kind))
-    return blocks.unionByName(runs).where(order > F.col("low")).select("doc_id", "at", "n")
+    return blocks.unionByName(runs).where(order > F.col("low")).select("doc_id", "v", F.shiftright("place", 6).alias("at"), (F.col("place") % 64).alias("n"))
 
 
 def cut_repeats(docs: DataFrame, window: int = 50, seed: int = 8, id: str = "doc_id", text: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, removed): kept has the words left, joined by one space; removed the spans [start, end) of words."""
-    docs = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    starts = materialise(repeated_starts(docs, window, seed, filter_bits).groupBy("doc_id").agg(F.collect_set(F.struct("at", "n")).alias("starts")), "starts")
-    joined = docs.join(starts, docs["doc_id"].eqNullSafe(starts["doc_id"]), "left").select(docs["doc_id"], "text", "starts")
+    docs = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.hash(F.col(text)).alias("v"))
+    starts = materialise(repeated_starts(docs, window, seed, filter_bits).groupBy("doc_id", "v").agg(F.collect_set(F.struct("at", "n")).alias("starts")), "starts")
+    joined = docs.join(starts, docs["doc_id"].eqNullSafe(starts["doc_id"]) & (docs["v"] == starts["v"]), "left").select(docs["doc_id"], "text", "starts")
     return joined.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept string, removed array<struct<start:long,end:long>>")
 
 
