@@ -13,6 +13,8 @@ _LOW = 0xFFFFFFFF
 MIX32 = (0x7FEB352D, 0x846CA68B)
 MIX64 = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 SEED = 0x9E3779B1
+#: Nodes up to which a placement ranks them in one row.
+MOST_NODES = 4096
 
 
 def times32(x: Column, m: int) -> Column:
@@ -63,11 +65,27 @@ def best_of(bids: DataFrame, n: int) -> DataFrame:
 
 
 def rendezvous32(blocks: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """blocks: block (below 2**32). nodes: node, num, rack; a cluster's node list, checked to be small enough to broadcast."""
+    """blocks: block (below 2**32). nodes: node, num, rack.
+
+    The node list is one array beside each block, so a block's ranking needs no shuffle: placement is a projection.
+    A list of more than MOST_NODES, too long for that, is ranked in groups instead."""
     seed = mix32(times32(F.col("num").cast("long").bitwiseAND(F.lit(_LOW)), SEED))
     offers = nodes.select("node", "rack", seed.alias("seed"))
-    bids = blocks.crossJoin(F.broadcast(offers)).select("block", "node", "rack", mix32(F.col("block").bitwiseXOR(F.col("seed"))).alias("score"))
-    return best_of(bids, n)
+    if offers.limit(MOST_NODES + 1).count() > MOST_NODES:
+        bids = blocks.crossJoin(offers).select("block", "node", "rack", mix32(F.col("block").bitwiseXOR(F.col("seed"))).alias("score"))
+        return best_of(bids, n)
+    listed = offers.agg(F.collect_list(F.struct("node", "rack", "seed")).alias("offers"))
+    bids = F.transform("offers", lambda o: F.struct((-mix32(F.col("block").bitwiseXOR(o["seed"]))).alias("bid"), o["node"].alias("node"), o["rack"].alias("rack")))
+    ranked = blocks.crossJoin(F.broadcast(listed)).select("block", F.inline(F.array(F.struct(F.array_sort(bids).alias("ranked")))))
+    none = F.slice("ranked", 1, 0)
+
+    def take(chosen: Column, by: str) -> Column:
+        """Goes down the ranking and takes what has a new `by`, up to n."""
+        fits = lambda got, x: (F.size(got) < n) & ~F.exists(got, lambda g: g[by] == x[by])
+        return F.aggregate("ranked", chosen, lambda got, x: F.when(fits(got, x), F.array_append(got, x)).otherwise(got))
+
+    best = ranked.select("block", F.posexplode(take(take(none, "rack"), "node")).alias("at", "x"))
+    return best.select("block", (F.col("at") + 1).alias("place"), "x.node", "x.rack")
 
 
 def rendezvous64(blocks: DataFrame, nodes: DataFrame, n: int) -> DataFrame:

@@ -73,12 +73,13 @@ def ranked(indexed: DataFrame, phrases: list[list[str]]) -> DataFrame:
 
     Row count, mean length and document frequencies run over all rows, whatever is filtered later: they are one
     aggregate row, and the rows are read once more."""
-    size = F.size("title_tokens") + F.size("content_tokens") + F.size("tags_tokens")
-    rows, hits = indexed.withColumn("_len", size), []
-    for i, phrase in enumerate(phrases):
-        per = {c: occurrences(F.col(f"{c}_tokens"), phrase) for c in WEIGHTS}
-        rows = rows.withColumn(f"_f{i}", sum((per[c] * w for c, w in WEIGHTS.items()), F.lit(0.0)))
-        hits.append(f"_f{i}")
+    token_columns = [f"{c}_tokens" for c in WEIGHTS]
+    # inline() computes the tokens once; a projection alone would be folded into each of their uses.
+    once = indexed.select(*[c for c in indexed.columns if c not in token_columns], F.inline(F.array(F.struct(*token_columns))))
+    hits = [f"_f{i}" for i in range(len(phrases))]
+    tf = [sum((occurrences(F.col(f"{c}_tokens"), p) * w for c, w in WEIGHTS.items()), F.lit(0.0)).alias(h) for p, h in zip(phrases, hits)]
+    size = sum((F.size(c) for c in token_columns), F.lit(0)).alias("_len")
+    rows = once.select(*[c for c in once.columns if c not in token_columns], size, *tf)
     stats = rows.agg(F.count(F.lit(1)).alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(h) > 0).alias(f"{h}_df") for h in hits])
     score = F.lit(0.0)
     for h in hits:
