@@ -34,7 +34,7 @@ from . import kernels as K
 from .shared import load
 
 STRIDE = 4
-REPETITIONS = 4
+REPETITIONS = 3
 SAMPLE = 4
 MAX_RATE = 0.2
 MIN_WORDS = 8
@@ -175,10 +175,10 @@ def _search(items):
                 item, most, begin = it.words[k], it.most[k], int(first[row])
                 if start < done.get((row, k), -1):
                     continue
-                low, high = max(begin, start - most), min(int(first[row + 1]), start + len(item) + most)
+                low, high = max(begin, start - 2 * most), min(int(first[row + 1]), start + len(item) + 2 * most)
                 near = fit(item, h[low:high], most)
                 if near:
-                    # Starts up to this one's own slack later would find the same stretch.
+                    # An aligned window's start is off by `most` words at most, so later ones this near would find the same stretch.
                     done[row, k] = start + most + 1
                     got = (near[0], low + near[1] - begin, low + near[2] - begin)
                     best[row, k] = min(best.get((row, k), got), got)
