@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from . import kernels as K
 from .shared import load, materialise
 
-#: Words in the broadcast table (some 20 MB).
-TABLE_WORDS = 1 << 19
+#: Words in the broadcast table (some 5 MB).
+TABLE_WORDS = 1 << 17
 #: Words held in a task before its counts, or its own encodings, are let go.
-TASK_WORDS = 1 << 20
+TASK_WORDS = 1 << 18
 _S = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 
@@ -117,7 +117,7 @@ class Table:
         self.base = len(words)
         self.lengths = np.array([len(i) // 4 for i in ids], np.int64)
         self.flat = np.frombuffer(b"".join(ids), "<u4")
-        self.words = words
+        self.words = list(words)  # the broadcast's own list lives as long as its worker
         self.reset()
 
     def reset(self) -> None:

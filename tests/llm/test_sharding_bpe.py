@@ -77,6 +77,15 @@ def test_bpe_on_odd_texts(spark, tokenizer, table):
     check(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), texts, tokenizer, table_words=table)
 
 
+def test_tasks_of_one_worker_share_nothing():
+    spec = bpe.tokenizer_json()
+    words, ids = ["a", "b"], [np.array([64], "<u4").tobytes(), np.array([65], "<u4").tobytes()]
+    for new in ("c", "d", "e"):
+        got, n = bpe.Table(words, ids, spec).encode(["b", new, "a", new])
+        assert got[:1].tolist() == [65] and got[2] == 64 and n.tolist() == [1, 1, 1, 1]
+    assert words == ["a", "b"]
+
+
 def test_distinct_words_are_encoded_once(spark, edge):
     words = bpe.word_table(edge.select("text"), bpe.tokenizer_json())
     assert words.count() == words.select("word").distinct().count()
