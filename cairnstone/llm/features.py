@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 from . import kernels as K
 
 DIMS = 4096
+#: Texts counted at once: their counts are a dense matrix.
+ROWS = 1024
 #: For language: letters alone. For quality: letters with case, digits as one, and every other byte itself.
 LETTERS = np.full(256, 32, np.uint8)
 LETTERS[[*range(97, 123), *range(128, 256)]] = [*range(97, 123), *range(128, 256)]
@@ -57,7 +59,7 @@ def tfidf(count: np.ndarray, idf: np.ndarray) -> np.ndarray:
 def _frequencies(table: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, rows = np.zeros(DIMS, np.int64), 0
-        for batch in K.slices(batches):
+        for batch in K.slices(batches, rows=ROWS):
             total += (counts(batch.column("text"), table) > 0).sum(0)
             rows += batch.num_rows
         if rows:
@@ -80,7 +82,7 @@ def inverse_frequencies(docs: DataFrame, table: np.ndarray) -> np.ndarray:
 
 def _vectors(table: np.ndarray, idf: np.ndarray, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in K.slices(batches):
+        for batch in K.slices(batches, rows=ROWS):
             x = tfidf(counts(batch.column("text"), table), idf).astype(np.float16)
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array([r.tobytes() for r in x], pa.binary())], [key, "x"])
 

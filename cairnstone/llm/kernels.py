@@ -59,8 +59,8 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about limit bytes of text."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about limit bytes of text and at most so many rows."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -68,6 +68,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
         at = 0
         while at < batch.num_rows:
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+            end = min(end, at + rows)
             yield batch.slice(at, end - at)
             at = end
 

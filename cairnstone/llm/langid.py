@@ -85,7 +85,7 @@ def _predict(model):
         import regex
 
         letter, m = regex.compile(r"\p{L}").search, None if model is None else model.value
-        for batch in K.slices(batches):
+        for batch in K.slices(batches, rows=X.ROWS):
             text = batch.column("text")
             has = np.array([bool(t) and letter(t) is not None for t in text.to_pylist()], bool)
             if m is None:

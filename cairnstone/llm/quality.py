@@ -80,7 +80,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, late
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = None if model is None else model.value
-        for batch in K.slices(batches):
+        for batch in K.slices(batches, rows=X.ROWS):
             score = np.full(batch.num_rows, 0.5) if m is None else m.score(X.counts(batch.column("text"), X.SHAPE))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.clip(score, 0, 1))], ["doc_id", "score"])
 
