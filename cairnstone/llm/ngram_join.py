@@ -172,16 +172,17 @@ def _sets(k: int, lower: bool, percent: int, table, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, bits, seen = Orders(*table.value), np.frombuffer(wanted.value, np.int64), set()
         for batch in K.slices(batches):
-            rows = []
-            for x in token_sets(batch.column("text"), k, lower):
+            rows, ids = [], batch.column("doc_id").fill_null(0).to_pylist()
+            for id, x in zip(ids, token_sets(batch.column("text"), k, lower)):
                 fp = fingerprint(x)
-                if not len(x) or fp in seen or not K.in_bitmap(bits, FILTER_BITS, np.array([fp]))[0]:
+                if not len(x) or fp in seen or not K.in_bitmap(bits, FILTER_BITS, np.array([fp ^ id]))[0]:
                     continue
                 seen.add(fp)
                 rank, p = order.rank(x), prefix_length(len(x), percent)
-                rows.append((fp, x.tobytes(), *[K.signed(order.prefix(x, p, m, rank)) for m in (2, 3)]))
+                # Low halves of tokens can only add overlaps to the filter.
+                rows.append((fp, x.tobytes(), *[order.prefix(x, p, m, rank).astype(np.uint32).view(np.int32) for m in (2, 3)]))
             if rows:
-                kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                kinds = (pa.int64(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["fp", "tokens", "p2", "p3"])
 
     return run
@@ -240,21 +241,26 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id: str =
         joined = pairs.join(a, F.col("a") == F.col("a_fp")).join(b, F.col("b") == F.col("b_fp"))
         return joined.where(_may_link(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"), percent)).select("a", "b")
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """Pairs that also share prefix tokens under the other orders, and then have the similarity."""
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        """Tokens, and prefixes under the other orders, of all ends of pairs."""
         ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-        wanted = sc.broadcast(bitmap(ends, "fp", FILTER_BITS))
-        full = docs.select("text").mapInArrow(_sets(k, lower, percent, table, wanted), "fp long, tokens binary, p2 array<long>, p3 array<long>")
-        full = materialise(full, "sets").dropDuplicates(["fp"])
+        # Of equal sets only the first document's is read again.
+        first_of = ends.join(sets.select("fp", "rep"), "fp").select(F.col("fp").bitwiseXOR(F.coalesce("rep", F.lit(0))).alias("key"))
+        wanted = sc.broadcast(bitmap(first_of, "key", FILTER_BITS))
+        return materialise(docs.mapInArrow(_sets(k, lower, percent, table, wanted), "fp long, tokens binary, p2 array<int>, p3 array<int>"), "sets").dropDuplicates(["fp"])
+
+    def verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
+        """Pairs that also share prefix tokens under the other orders, and then have the similarity."""
         prefixes = full.select("fp", "p2", "p3")
         kept = pairs.join(prefixes.select(F.col("fp").alias("a"), F.col("p2").alias("a2"), F.col("p3").alias("a3")), "a").join(prefixes.select(F.col("fp").alias("b"), F.col("p2").alias("b2"), F.col("p3").alias("b3")), "b")
         kept = kept.where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b")
         blobs = full.select("fp", "tokens")
         kept = kept.join(blobs.select(F.col("fp").alias("a"), F.col("tokens").alias("ta")), "a").join(blobs.select(F.col("fp").alias("b"), F.col("tokens").alias("tb")), "b")
-        return materialise(kept.select("a", "b", "ta", "tb").mapInArrow(_verify(percent), "a long, b long"), name)
+        return materialise(kept.select("a", "b", "ta", "tb").mapInArrow(_verify(percent), "a long, b long"), "links")
 
     first = materialise(paired("head").unionByName(paired("prev")).distinct(), "pairs")
-    links = verified(materialise(sketched(first), "candidates"), "links")
+    candidates = materialise(sketched(first), "candidates")
+    links = verified(candidates, sets_of(candidates))
     label = materialise(components(links, "a", "b"), "labels")
 
     # Nodes of one list that are still apart meet pairwise.
@@ -265,9 +271,23 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id: str =
     met = (F.col("x.token") == F.col("y.token")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.c") != F.col("y.c"))
     more = x.join(y, met & _may_link(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"), percent)).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
     more = materialise(more.join(first, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        links = links.unionByName(verified(more, "links"))
+    # A few pairs of each component are verified at a time, more of them in each round; the links found spare most
+    # of the others, whose ends they bring into one component. It ends when no untested pair is between two.
+    full, tested, each = None, None, 1
+    while True:
+        of = lambda end: label.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+        pending = more if tested is None else more.join(tested, ["a", "b"], "left_anti")
+        pending = pending.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
+        rank = lambda c: F.row_number().over(Window.partitionBy(c).orderBy("a", "b"))
+        chosen = [pending.withColumn("r", rank(c)).where(F.col("r") <= each).select("a", "b") for c in ("ca", "cb")]
+        chosen = materialise(chosen[0].unionByName(chosen[1]).distinct(), "chosen")
+        if chosen.isEmpty():
+            break
+        full = sets_of(more) if full is None else full
+        links = links.unionByName(verified(chosen, full))
         label = materialise(components(links, "a", "b"), "labels")
+        tested = chosen if tested is None else tested.unionByName(chosen)
+        each *= 8
 
     member = sets.select("fp", "rep").join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("c", F.coalesce("component", "fp"))
     smallest = member.groupBy("c").agg(F.min("rep").alias("smallest"))
