@@ -91,6 +91,9 @@ def _extended(window: int, seed: int, wanted, blocks, whole: bool):
             b = least ^ K.rolling(h, window, 0xAF251AF3B0F025B5)[at]
             new = np.ones(len(at), bool)
             new[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)
+            # In periodic text the fingerprint stays the same: longer blocks are cut, so that both ends tell the words between them.
+            i = np.arange(len(at))
+            new |= (i - np.maximum.accumulate(np.where(new, i, 0))) % (window - seed + 1) == 0
             start = np.flatnonzero(new)
             n = np.diff(np.append(start, len(at)))
             last = start + n - 1

@@ -69,6 +69,23 @@ def test_substrings(spark, edge, edge_rows, bits):
     assert sorted(map(repr, ((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got))) == sorted(map(repr, windows_left(edge_rows)))
 
 
+def test_repeats_of_periodic_texts(spark):
+    """Every length of stretches with one fingerprint, 64 and its multiples among them; copies whole, shifted and within other words."""
+    from conftest import documents, words
+
+    rows = []
+    for n in (63, 64, 106, 107, 128, 192):
+        for period in (1, 7, 43):
+            line = words(1000 * n + period, period, 10**6)
+            text = (line * 400)[: n + 49]
+            i = 10 * len(rows)
+            rows += [(i, " ".join(text)), (i + 1, " ".join(text)), (i + 2, " ".join(["lead", *text[3:], "tail"])), (i + 3, "\n".join(text + text))]
+    line = " ".join(words(5, 9))
+    rows += [(9000 + i, "\n".join([line] * 200)) for i in range(3)]
+    got = substring.cut_repeats(documents(spark, rows)).collect()
+    assert sorted(map(repr, ((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got))) == sorted(map(repr, windows_left(rows)))
+
+
 def shingles(text, k):
     w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
