@@ -44,6 +44,8 @@ BLOCK_BYTES = 4 << 20
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _TABLE = 20
+#: Before any start: an item whose first words are cut may start before word 0 of a slice.
+_NOTHING = -(1 << 62)
 
 
 def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +175,7 @@ def _search(items):
             done: dict[tuple[int, int], int] = {}
             for row, k, start in it.candidates(h, first).tolist():
                 item, most, begin = it.words[k], it.most[k], int(first[row])
-                if start < done.get((row, k), -1):
+                if start < done.get((row, k), _NOTHING):
                     continue
                 low, high = max(begin, start - 2 * most), min(int(first[row + 1]), start + len(item) + 2 * most)
                 near = fit(item, h[low:high], most)

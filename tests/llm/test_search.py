@@ -54,6 +54,15 @@ def test_recall_of_edited_items(spark):
     assert set(exact) <= set(got)
 
 
+def test_an_item_cut_at_the_beginning_of_a_slice(spark):
+    item = words(3, 40, 3000)
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    for cut in range(9):
+        rows = [(cut, " ".join(item[cut:] + words(70 + cut, 40, 3000)))]
+        got = [tuple(r) for r in decontaminate.leaks(documents(spark, rows).coalesce(1), bench).collect()]
+        assert got == [(cut, 1, 0, 40 - cut, cut, 40)]
+
+
 def test_blocks_of_items_and_edge_cases(spark, edge, empty):
     text = edge.where("doc_id = 5").first()["text"]
     rows = [(1, " ".join(text.split()[10:40])), (2, None), (3, ""), (4, "one two"), (1, " ".join(text.split()[10:40]))]
