@@ -1,17 +1,15 @@
-"""Benchmark decontamination by CGK embedding and bit sampling.
+"""Benchmark decontamination by intact pieces and exact edit verification.
 
 Texts and items are lower-cased and cut into words of letters and digits. A
 document is contaminated by an item of n words if some stretch of it is within
 word edit distance floor(max_rate * n) of the item.
 
-Candidates come from the CGK random walk: at step j the walk emits the word
-under its pointer and advances by a random bit of that word and j, so that a
-small edit distance becomes a small Hamming distance of the emitted strings.
-Windows start at every stride-th word of a document; an item is embedded at all
-its offsets, in windows of the two size classes next below its length, so each leak has aligned windows. Each repetition draws its own walk and samples
-`sample` coordinates of it as the bucket key. Candidates are then verified by
-exact edit distance. Missed pairs are missed by all repetitions; tests hold
-recall against brute force.
+Candidates are complete: of an item cut into one piece more than the edits it may
+have, an edit touches one piece at most, so every leak holds some piece word for
+word. Pieces are found by their hashes at every word of a document, and the
+stretch around each is verified by exact edit distance. No pair is missed,
+whatever the item's length and its number of edits; tests hold that against
+brute force.
 
 The items are broadcast in blocks of bounded bytes, one pass for each block, so a
 benchmark of any size works. Items of under min_words words are too short to
@@ -33,12 +31,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import kernels as K
 from .shared import load
 
-STRIDE = 4
-REPETITIONS = 3
-SAMPLE = 4
 MAX_RATE = 0.2
 MIN_WORDS = 8
-CLASSES = (5, 8, 16, 32)
 #: Bytes of item text in one broadcast.
 BLOCK_BYTES = 4 << 20
 _WORD = np.zeros(256, bool)
@@ -55,32 +49,6 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return K.hashes(data, starts, ends), first
 
 
-def coordinates(repetition: int, size: int, sample: int) -> list[int]:
-    """The sampled steps of a walk over windows of so many words, one from each of `sample` equal stretches."""
-    rng = np.random.default_rng([repetition, size])
-    edges = np.linspace(0, 2 * size, sample + 1)
-    return [int(rng.integers(int(a), max(int(a) + 1, int(b)))) for a, b in zip(edges[:-1], edges[1:])]
-
-
-def embed(h: np.ndarray, at: np.ndarray, repetition: int, sample: int) -> dict[int, np.ndarray]:
-    """For each size class, the bucket keys of the windows that start at `at`."""
-    h = np.concatenate([K.mix(h, 1000 + repetition), np.zeros(1, K.U)])
-    take = {size: coordinates(repetition, size, sample) for size in CLASSES}
-    keys = {size: np.full(len(at), K.U(size)) for size in CLASSES}
-    pos, last = at.copy(), len(h) - 1
-    for j in range(max(c[-1] for c in take.values()) + 1):
-        g = h[pos]
-        for size, steps in take.items():
-            if j in steps:
-                keys[size] *= K.U(0x9E3779B97F4A7C15)
-                keys[size] += g
-        g >>= K.U(j & 63)
-        g &= K.U(1)
-        pos += g.view(np.int64)
-        np.minimum(pos, last, out=pos)
-    return {size: K.mix(key) for size, key in keys.items()}
-
-
 def fit(item: np.ndarray, part: np.ndarray, most: int) -> tuple[int, int, int] | None:
     """(distance, start, end) of the stretch of part nearest to item, if within `most` edits."""
     if np.isin(item, part).sum() < len(item) - most:
@@ -104,63 +72,50 @@ def fit(item: np.ndarray, part: np.ndarray, most: int) -> tuple[int, int, int] |
     return int(row[end]), end - int(back.argmin()), end
 
 
-def sizes_of(n: int, stride: int) -> list[int]:
-    """The two largest size classes of which an item of n words has a window on every grid; the least class only where no other fits."""
-    fits = [size for size in CLASSES if size + stride - 1 <= n]
-    return [size for size in fits[-2:] if size > CLASSES[0]] or fits[-1:]
+def pieces(n: int, most: int) -> list[tuple[int, int]]:
+    """(first word, words) of the most + 1 pieces of an item of n words, as equal as can be."""
+    edges = [n * i // (most + 1) for i in range(most + 2)]
+    return [(a, b - a) for a, b in zip(edges[:-1], edges[1:])]
 
 
 class Items:
-    """Item windows by bucket key, for each repetition and size class."""
+    """Pieces of items by hash, for each length of piece."""
 
-    def __init__(self, ids: list[int], texts: list[str], stride: int, repetitions: int, sample: int, max_rate: float, min_words: int):
+    def __init__(self, ids: list[int], texts: list[str], max_rate: float, min_words: int):
         h, first = words(pa.array(texts, pa.string()))
         spans = [(i, a, b) for i, a, b in zip(ids, first[:-1].tolist(), first[1:].tolist()) if b - a >= min_words]
         self.ids = [i for i, _, _ in spans]
         self.words = [h[a:b] for _, a, b in spans]
         self.most = [int(max_rate * len(w) + 1e-9) for w in self.words]
-        self.stride, self.repetitions, self.sample = stride, repetitions, sample
-        self.sizes: set[int] = set()
-        rows: dict[int, list[tuple[int, int]]] = {size: [] for size in CLASSES}
-        for k, w in enumerate(self.words):
-            for size in sizes_of(len(w), stride):
-                rows[size] += [(k, o) for o in range(len(w) - size + 1)]
-                self.sizes.add(size)
-        self.at = {size: np.array(r, np.int64).reshape(-1, 2) for size, r in rows.items()}
-        self.keys, self.order, self.table = {}, {}, {}
-        for r in range(repetitions):
-            keys: dict[int, list[np.ndarray]] = {size: [] for size in CLASSES}
-            for w in self.words:
-                found = embed(w, np.arange(len(w)), r, sample)
-                for size in sizes_of(len(w), stride):
-                    keys[size].append(found[size][: len(w) - size + 1])
-            for size in self.sizes:
-                key = np.concatenate(keys[size])
-                self.order[r, size] = np.argsort(key)
-                self.keys[r, size] = key[self.order[r, size]]
-                table = np.zeros(1 << _TABLE, bool)
-                table[(key >> K.U(64 - _TABLE)).astype(np.int64)] = True
-                self.table[r, size] = table
+        rows: dict[int, list[tuple[int, int]]] = {}
+        keys: dict[int, list[np.uint64]] = {}
+        for k, (w, most) in enumerate(zip(self.words, self.most)):
+            grams = {size: K.grams(w, size) for size in {size for _, size in pieces(len(w), most)}}
+            for o, size in pieces(len(w), most):
+                rows.setdefault(size, []).append((k, o))
+                keys.setdefault(size, []).append(grams[size][o])
+        self.at, self.keys, self.table = {}, {}, {}
+        for size in rows:
+            key = np.array(keys[size], K.U)
+            order = np.argsort(key)
+            self.at[size], self.keys[size] = np.array(rows[size], np.int64)[order], key[order]
+            self.table[size] = np.zeros(1 << _TABLE, bool)
+            self.table[size][(key >> K.U(64 - _TABLE)).astype(np.int64)] = True
 
     def candidates(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Rows (text, item, first word of the item in the slice), distinct."""
-        counts = -(-np.diff(first) // self.stride)
-        rows = np.repeat(np.arange(len(counts)), counts)
-        at = first[:-1][rows] + self.stride * (np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts))
         found = []
-        for r in range(self.repetitions if len(at) else 0):
-            for size, key in embed(h, at, r, self.sample).items():
-                if size not in self.sizes:
-                    continue
-                hit = np.flatnonzero(self.table[r, size][(key >> K.U(64 - _TABLE)).astype(np.int64)])
-                low = np.searchsorted(self.keys[r, size], key[hit], "left")
-                n = np.searchsorted(self.keys[r, size], key[hit], "right") - low
-                hit, low, n = hit[n > 0], low[n > 0], n[n > 0]
-                if not len(hit):
-                    continue
-                to = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                item = self.at[size][self.order[r, size][to]]
-                found.append(np.stack([np.repeat(rows[hit], n), item[:, 0], np.repeat(at[hit], n) - item[:, 1]], 1))
+        for size, keys in self.keys.items():
+            key = K.grams(h, size)
+            hit = np.flatnonzero(self.table[size][(key >> K.U(64 - _TABLE)).astype(np.int64)] & K.inside(first, size, len(h)))
+            low = np.searchsorted(keys, key[hit], "left")
+            n = np.searchsorted(keys, key[hit], "right") - low
+            hit, low, n = hit[n > 0], low[n > 0], n[n > 0]
+            if not len(hit):
+                continue
+            item = self.at[size][np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            at = np.repeat(hit, n)
+            found.append(np.stack([np.searchsorted(first, at, "right") - 1, item[:, 0], at - item[:, 1]], 1))
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
 
@@ -179,9 +134,9 @@ def _search(items):
                     continue
                 low, high = max(begin, start - 2 * most), min(int(first[row + 1]), start + len(item) + 2 * most)
                 near = fit(item, h[low:high], most)
+                # A piece's place is off by `most` words at most, so whatever later ones this near stand for is in this stretch.
+                done[row, k] = start + most + 1
                 if near:
-                    # An aligned window's start is off by `most` words at most, so later ones this near would find the same stretch.
-                    done[row, k] = start + most + 1
                     got = (near[0], low + near[1] - begin, low + near[2] - begin)
                     best[row, k] = min(best.get((row, k), got), got)
             if best:
@@ -192,8 +147,10 @@ def _search(items):
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", max_rate: float = MAX_RATE, repetitions: int = REPETITIONS, stride: int = STRIDE, sample: int = SAMPLE, min_words: int = MIN_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, item_id, start_word, end_word, distance, item_words): the best stretch of each contaminated document for each item in it."""
+def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", max_rate: float = MAX_RATE, min_words: int = MIN_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, item_id, start_word, end_word, distance, item_words): the best stretch of each contaminated document for each item in it. max_rate is below 1."""
+    if not 0 <= max_rate < 1:
+        raise ValueError(f"max_rate: {max_rate}")
     docs = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     bench = benchmark.select(F.col(item).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text is not null").distinct()
     size = bench.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
@@ -202,7 +159,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
     parts = []
     for b in range(blocks):
         rows = bench.where(F.col("block") == b).select("item_id", "text").toPandas()
-        value = (rows["item_id"].tolist(), rows["text"].tolist(), stride, repetitions, sample, max_rate, min_words)
+        value = (rows["item_id"].tolist(), rows["text"].tolist(), max_rate, min_words)
         parts.append(docs.mapInArrow(_search(docs.sparkSession.sparkContext.broadcast(value)), "doc_id long, item_id long, start_word long, end_word long, distance long, item_words long"))
     return reduce(DataFrame.unionByName, parts).distinct()
 

@@ -54,6 +54,22 @@ def test_recall_of_edited_items(spark):
     assert set(exact) <= set(got)
 
 
+def test_every_length_and_number_of_edits(spark):
+    """Complete recall, by length of item and edits: each cell's leaks are all found, at their distance."""
+    r, items, rows, want = random.Random(5), [], [], {}
+    for n in [*range(8, 26), 33, 60]:
+        for most in range(n // 5 + 1):
+            for _ in range(6):
+                i = len(items)
+                items.append((i, words(5000 + i, n, 10**6)))
+                text = words(i, 20, 10**6) + edits(items[-1][1], most, r) + words(90_000 + i, 20, 10**6)
+                rows.append((i, " ".join(text)))
+                want[i, i] = fits(items[-1][1], text, n // 5)
+    assert None not in want.values()
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    assert {(x["doc_id"], x["item_id"]): x["distance"] for x in decontaminate.leaks(documents(spark, rows), bench).collect()} == want
+
+
 def test_an_item_cut_at_the_beginning_of_a_slice(spark):
     item = words(3, 40, 3000)
     bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
