@@ -10,7 +10,8 @@ fitted to a bounded sample of labelled rows (SAMPLE_ROWS of each class at most).
 
 A lattice is decoded only if its skeleton (look-alikes merged, separators
 dropped, repeats collapsed) is that of a lexicon word's: no other can restore to
-one, so nothing is lost.
+one, so nothing is lost. Look-alikes at a word's edges may be letters or signs
+around it: each such reading has its own lattice.
 
 A null or empty text has no features and takes the score of the intercept. With nothing to
 learn from, the lexicon is empty. Repeated rows give equal rows, texts are read
@@ -49,11 +50,12 @@ LOOKALIKES = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "{": "c", "€": "e", "£": "l", "¢": "c",
 }
 SEPARATORS = ".-_*~'`·,/\\ "
-_MERGE = {**{k: v[0] for k, v in LOOKALIKES.items()}, "l": "i", "g": "b", **{s: "" for s in SEPARATORS}}
-_MERGE |= {"6": "b", "9": "b"}
+_CLASS = {"l": "i", "g": "b"}
+_MERGE = {**{k: _CLASS.get(v[0], v[0]) for k, v in LOOKALIKES.items()}, **_CLASS, **{s: "" for s in SEPARATORS}}
 _SKELETON = str.maketrans(_MERGE)
 _REPEAT = re.compile(r"(.)\1+")
 _EDGES = re.compile(r"^[^\w@$]+|[^\w@$]+$")
+_RUN = re.compile(r"(.)\1*", re.S)
 #: Three and more single characters, each alone between blanks.
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 
@@ -148,6 +150,7 @@ class Reader:
         self.weights, self.base, self.model = weights, base, model
         self.skeletons = {skeleton(w.rstrip("-")) for w in weights}
         self.lengths = sorted({len(s) for s in self.skeletons})
+        self.longest = max(map(len, weights), default=0)
         self.words = sorted({len(w) for w in weights if len(w) > 3 and not w.endswith("-")})
         self.known: dict[str, tuple[str, ...]] = {}
 
@@ -157,6 +160,24 @@ class Reader:
     def restore(self, word: str) -> str:
         return viterbi(lattice(word), self.model)
 
+    def edged(self, token: str, plain: str) -> list[str]:
+        """The token with look-alikes left at its edges, in every way that may hold a lexicon word."""
+        runs = [(m.start(), m.end()) for m in _RUN.finditer(token)]
+        a = token.index(plain) if plain else len(token)
+        b = a + len(plain) if plain else 0
+        # A run stands for a letter at least: with more of them behind it no word is in the lexicon.
+        ends = [b, *[j for i, j in runs if i >= b and token[i] in LOOKALIKES][: self.longest]]
+        most = max(self.lengths, default=0)
+        s = skeleton(token[a:])[:most]
+        starts = [(a, s)]
+        for i, _ in reversed([r for r in runs if r[1] <= a]):
+            c = skeleton(token[i])
+            s = s if s.startswith(c) else (c + s)[:most]
+            if token[i] in LOOKALIKES:
+                starts.append((i, s))
+        starts = [i for i, s in starts if any(s[:n] in self.skeletons for n in self.lengths)]
+        return [token[i:j] for i in starts for j in ends if i < j and (i, j) != (a, b)]
+
     def features(self, token: str) -> tuple[str, ...]:
         got = self.known.get(token)
         if got is None:
@@ -167,6 +188,10 @@ class Reader:
                 if any(s[:n] in self.skeletons for n in self.lengths):
                     for word in self.restore(plain).split():
                         found += self._of(word)
+            if len(plain) < len(token):
+                for part in self.edged(token, plain):
+                    for word in self.restore(part).split():
+                        found += self._of(word)
             if len(self.known) > TASK_WORDS:
                 self.known.clear()
             got = self.known[token] = tuple(dict.fromkeys(found))

@@ -89,6 +89,21 @@ def test_restored(reader, text):
     assert reader.score(text) > 0.3
 
 
+@pytest.mark.parametrize("text", ["!diot", "|oser", "+rash", "(lown", "<lown", "{lown", "¢lown", "£oser", "stup!d", "idio+", "\"!diot\",", "(!diot)", "(!d!o+)", "idio+!!", "what |0ser", "!!diot", "...+ra$h..."])
+def test_restored_at_the_edges(reader, text):
+    assert reader.score(text) > 0.3
+
+
+@pytest.mark.parametrize("c", sorted(toxicity.LOOKALIKES))
+def test_skeletons_of_look_alikes(c):
+    assert {toxicity.skeleton(x) for x in toxicity.LOOKALIKES[c]} == {toxicity.skeleton(c)}
+
+
+@pytest.mark.parametrize("text", ["!", "(the thing)", "<|>" * 20_000, "+ the + thing !", "€100 (10%)"])
+def test_signs_are_left_alone(reader, text):
+    assert reader.score(text) < 0.3
+
+
 @pytest.mark.parametrize("text", ["", None, "the thing is here", "12345", "a b c d e", "...", "10 t 20"])
 def test_left_alone(reader, text):
     assert reader.score(text) < 0.3
