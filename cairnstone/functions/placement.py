@@ -15,6 +15,8 @@ MIX64 = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 SEED = 0x9E3779B1
 #: Nodes up to which a placement ranks them in one row.
 MOST_NODES = 4096
+#: Scores of blocks and nodes that a task holds at once.
+_SCORES = 1 << 20
 
 
 def times32(x: Column, m: int) -> Column:
@@ -88,9 +90,37 @@ def rendezvous32(blocks: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     return best.select("block", (F.col("at") + 1).alias("place"), "x.node", "x.rack")
 
 
+def _weighted(nodes, n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, rack, seed, weight = (np.array(c, t) for c, t in zip(nodes.value, (object, object, np.int64, np.float64)))
+        racks = [np.flatnonzero(rack == r) for r in dict.fromkeys(rack.tolist())]
+        for batch in batches:
+            block, most = batch.column("block").to_numpy(), max(1, _SCORES // len(node))
+            for part in (block[i : i + most] for i in range(0, len(block), most)):
+                s = weighted_score(part[:, None], seed[None], weight[None])
+                first = np.zeros(s.shape, bool)
+                for r in racks:
+                    first[np.arange(len(part)), r[s[:, r].argmax(1)]] = True
+                # Stable, so equal scores stay in the order of nodes.
+                top = np.lexsort((-s, ~first))[:, :n]
+                place = np.tile(np.arange(1, top.shape[1] + 1, dtype=np.int32), len(part))
+                columns = [np.repeat(part, top.shape[1]), place, node[top.ravel()], rack[top.ravel()]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.string()))], ["block", "place", "node", "rack"])
+
+    return run
+
+
 def rendezvous64(blocks: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """nodes: node, rack, seed (long), weight."""
-    pairs = blocks.crossJoin(F.broadcast(nodes.select("node", "rack", F.col("seed").cast("long"), F.col("weight").cast("double"))))
+    """nodes: node, rack, seed (long), weight.
+
+    Up to MOST_NODES of them are broadcast and ranked for each block where it is; more are ranked in groups."""
+    nodes = nodes.select("node", "rack", F.col("seed").cast("long"), F.col("weight").cast("double"))
+    listed = nodes.limit(MOST_NODES + 1).collect()
+    if 0 < len(listed) <= MOST_NODES:
+        columns = tuple(zip(*sorted(map(tuple, listed), key=lambda r: r[0].encode())))
+        given = blocks.sparkSession.sparkContext.broadcast(columns)
+        return blocks.select(F.col("block").cast("long")).mapInArrow(_weighted(given, n), "block long, place int, node string, rack string")
+    pairs = blocks.crossJoin(F.broadcast(nodes) if not listed else nodes)
     return best_of(pairs.mapInArrow(_bids, "block long, node string, rack string, score double"), n)
 
 

@@ -8,13 +8,17 @@ from ..functions import placement as P
 from ..registry import query
 from ..sources.tables import table
 
-#: Nodes of the cluster that the queries place on.
+#: Nodes of the cluster that hrw_place, hrw_disruption and modulo_place place on.
 NODES = 12
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _suppliers(spark, sf_dir).where(F.col("num") <= NODES)
+
+
+def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
-    joined = s.where(F.col("s_suppkey") <= NODES).join(n, s["s_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"])
+    joined = s.join(n, s["s_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"])
     return joined.select(F.concat(F.lit("w"), "s_suppkey").alias("node"), F.col("s_suppkey").alias("num"), F.col("r_name").alias("rack"))
 
 
@@ -55,7 +59,8 @@ def hrw_disruption(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("hrw_place_weighted")
 def hrw_place_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _nodes(spark, sf_dir).select("node", "rack", F.col("num").alias("seed"), (1 + F.col("num") % 3).cast("double").alias("weight"))
+    """Over every supplier."""
+    nodes = _suppliers(spark, sf_dir).select("node", "rack", F.col("num").alias("seed"), (1 + F.col("num") % 3).cast("double").alias("weight"))
     return P.rendezvous64(_blocks(spark, sf_dir), nodes, 3)
 
 

@@ -82,6 +82,35 @@ def test_racks_and_disruption(spark, place):
     assert sum(a[k] != b[k] for k in a) < 300
 
 
+def weighted_by_hand(block, at, n):
+    score = {r[0]: P.weighted_score(np.array([block]), np.array([r[2]]), np.array([r[3]]))[0] for r in at}
+    ranked, firsts, rest = sorted(at, key=lambda r: (-score[r[0]], r[0])), [], []
+    for r in ranked:
+        (rest if any(f[1] == r[1] for f in firsts) else firsts).append(r)
+    return [(block, i, r[0], r[1]) for i, r in enumerate((firsts + rest)[:n], 1)]
+
+
+@pytest.mark.parametrize("most", [4096, 5])
+def test_weighted_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(P, "MOST_NODES", most)
+    at = nodes(spark, 30).withColumn("seed", F.col("num")).withColumn("weight", F.when(F.col("num") % 7 == 0, 0.0).otherwise(F.col("weight")))
+    listed = [tuple(r) for r in at.select("node", "rack", "seed", "weight").collect()]
+    for k in (3, 5, 40):
+        got = sorted(map(tuple, P.rendezvous64(spark.range(200).withColumnRenamed("id", "block"), at, k).select("block", "place", "node", "rack").collect()))
+        assert got == [r for b in range(200) for r in weighted_by_hand(b, listed, k)]
+
+
+def test_weighted_query_places_on_every_supplier(spark):
+    from cairnstone.plans import placed
+
+    sf = "/root/testdata/sf0.01"
+    rack = {r["num"]: r["rack"] for r in placed.table(spark, sf, "supplier").join(placed.table(spark, sf, "nation"), F.expr("s_nationkey = n_nationkey")).join(placed.table(spark, sf, "region"), F.expr("n_regionkey = r_regionkey")).selectExpr("s_suppkey num", "r_name rack").collect()}
+    listed = [(f"w{i}", r, i, float(1 + i % 3)) for i, r in rack.items()]
+    out = placed.hrw_place_weighted(spark, sf).where("block <= 100").select("block", "place", "node", "rack")
+    got = sorted(map(tuple, out.collect()))
+    assert len(listed) > placed.NODES and got == [r for b in sorted({g[0] for g in got}) for r in weighted_by_hand(b, listed, 3)]
+
+
 def test_modulo_rule():
     ring = [("a", "r1"), ("b", "r1"), ("c", "r2"), ("d", "r2"), ("e", "r3")]
     assert P.modulo(ring, 0) == ["a", "c", "d"] and P.modulo(ring, 3) == ["d", "e"] and P.modulo(ring, 4) == ["e", "a", "b"]
