@@ -98,11 +98,14 @@ def _weighted(nodes, n: int):
             block, most = batch.column("block").to_numpy(), max(1, _SCORES // len(node))
             for part in (block[i : i + most] for i in range(0, len(block), most)):
                 s = weighted_score(part[:, None], seed[None], weight[None])
-                first = np.zeros(s.shape, bool)
-                for r in racks:
-                    first[np.arange(len(part)), r[s[:, r].argmax(1)]] = True
-                # Stable, so equal scores stay in the order of nodes.
-                top = np.lexsort((-s, ~first))[:, :n]
+                best = np.stack([r[s[:, r].argmax(1)] for r in racks], 1)
+                if len(racks) >= n:
+                    top = np.take_along_axis(best, np.lexsort((best, -np.take_along_axis(s, best, 1))), 1)[:, :n]
+                else:
+                    later = np.ones(s.shape, bool)
+                    np.put_along_axis(later, best, False, 1)
+                    # Stable, so equal scores stay in the order of nodes.
+                    top = np.lexsort((-s, later))[:, :n]
                 place = np.tile(np.arange(1, top.shape[1] + 1, dtype=np.int32), len(part))
                 columns = [np.repeat(part, top.shape[1]), place, node[top.ravel()], rack[top.ravel()]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.string()))], ["block", "place", "node", "rack"])
