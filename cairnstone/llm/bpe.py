@@ -1,18 +1,26 @@
 """Byte-level BPE encoding and decoding through a table of distinct words.
 
-Spark splits every text into words (the tokenizer's own pre-tokens), the
-distinct words are gathered with their counts, and each of them is encoded once.
-The ids come back by position: a document is the sequence of its words' ids. The
-most frequent TABLE_WORDS words come back from a broadcast of the table; a word
-beyond that bound is encoded again where it is met, once for each task, so that
-no table grows with the input and nothing is left out. Decoding looks each id's
-piece up in the vocabulary, joins the pieces by position, and reads the bytes as
+Texts are split into words (the tokenizer's own pre-tokens) by vector operations
+over their characters. Consecutive texts of a task make a block of about
+BLOCK_BYTES (a longer text is a block of its own); a block is written as the
+places of its words, numbers into the block's list of distinct words, and that
+list, dealt into buckets by the words' hashes. A word is in one bucket wherever
+it stands, and there it is encoded once. Its ids go back to the blocks that have
+it, and a block's texts take them by position.
+
+Decoding is a join on id: the distinct ids of a few MB of ids meet the table of
+pieces, which has one row for each id of the vocabulary and is broadcast within
+BROADCAST_BYTES; the pieces take the ids' positions and the bytes are read as
 UTF-8 (a broken sequence becomes U+FFFD).
 
+No task holds more than a block and the distinct words of a bucket. A word that
+all documents share is one entry of each block, so no key is hot.
+
 Added tokens of the tokenizer (here <|endoftext|>) that stand in a text are
 themselves one id, as in the tokenizers library. A null or empty text has no ids
-and decodes to the empty text. Repeated rows give equal rows, long texts are
-encoded whole, empty tables give empty results, other columns are not read.
+and decodes to the empty text. A null doc_id is kept. Repeated rows give equal
+rows, long texts are encoded whole, empty tables give empty results, other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -22,17 +30,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from . import kernels as K
-from .shared import load, materialise
-
-#: Words in the broadcast table (some 5 MB).
-TABLE_WORDS = 1 << 17
-#: Words held in a task before its counts, or its own encodings, are let go.
-TASK_WORDS = 1 << 18
-_S = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+from .shared import BROADCAST_BYTES, load, materialise
+
+#: Text bytes of a block.
+BLOCK_BYTES = 16 << 20
+#: Text bytes that a bucket of distinct words stands for, and the most buckets.
+BUCKET_BYTES = 4 << 20
+BUCKETS = 1 << 16
+#: Words encoded in one call, and ids decoded at once.
+CALL_WORDS = 1 << 14
+DECODE_BYTES = 4 << 20
+# White space of the tokenizer's pattern besides the blank.
+_SPACES = [*range(9, 14), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+#: Kinds of characters.
+_OTHER, _LETTER, _NUMBER, _SPACE, _BLANK = range(5)
+# Endings that an apostrophe begins, by their letters.
+_ENDINGS = ["s", "t", "m", "d", "re", "ve", "ll"]
+_kinds: list[np.ndarray] = []
+_tokenizers: dict[str, object] = {}
 
 
 def tokenizer_json(path: str | None = None) -> str:
@@ -54,186 +73,356 @@ def _special(spec: str) -> dict[str, int]:
     return {t["content"]: t["id"] for t in j["added_tokens"]}
 
 
-class Splitter:
-    """Cuts a text into words and added tokens."""
-
-    def __init__(self, special: dict[str, int]):
+def kinds() -> np.ndarray:
+    """The kind of each code point; made once for each process."""
+    if not _kinds:
         import regex
 
-        self.find, self.special = regex.compile(PATTERN).findall, special
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
-
-    def __call__(self, text: str) -> list[str]:
-        if self.cut is None or not any(s in text for s in self.special):
-            return self.find(text)
-        out: list[str] = []
-        for part in self.cut(text):
-            out += [part] if part in self.special else self.find(part)
-        return out
+        out = np.zeros(0x110000, np.uint8)
+        text = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        for pattern, kind in ((r"\p{L}", _LETTER), (r"\p{N}", _NUMBER)):
+            out[[ord(c) for c in regex.findall(pattern, text)]] = kind
+        out[_SPACES], out[0x20] = _SPACE, _BLANK
+        _kinds.append(out)
+    return _kinds[0]
+
+
+def split(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """First bytes of the words of texts that lie one after another in data. Words have no gaps; none spans two texts."""
+    if not len(data):
+        return np.zeros(0, np.int64)
+    c = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    n = len(c)
+    at = np.arange(n + 1)
+    if n < len(data):
+        at[1:] = np.cumsum(1 + (c >= 0x80) + (c >= 0x800).astype(np.int64) + (c >= 0x10000))
+    kind = kinds()[c]
+    blank = kind == _BLANK
+    kind[blank] = _SPACE
+    edge = np.zeros(n + 1, bool)  # a text's first character, or the end of all
+    edge[np.searchsorted(at, offsets)] = True
+    edge[n] = True
+    first = edge.copy()
+    first[1:n] |= kind[1:] != kind[:-1]
+    runs = np.flatnonzero(first)
+    start, end = runs[:-1], runs[1:]
+    # Of white space before a word its last character stands apart; a blank there is the word's own.
+    ends = end[(kind[start] == _SPACE) & ~edge[end]]
+    first[ends - 1] = True
+    first[ends[blank[ends - 1]]] = False
+    # An apostrophe that begins a word takes a known ending from the letters behind it.
+    quote = np.flatnonzero((c == 0x27) & first[:n])
+    quote = quote[~edge[quote + 1]]
+    one = np.append(c, [0, 0])
+    for letters in _ENDINGS:
+        hit = quote
+        for k, letter in enumerate(letters, 1):
+            hit = hit[one[hit + k] == ord(letter)]
+            hit = hit[~edge[hit + k]]
+        first[hit + 1] = False
+        first[hit + len(letters) + 1] = True
+    return at[np.flatnonzero(first[:n])]
+
+
+def find(data: np.ndarray, offsets: np.ndarray, special: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes of words and added tokens, and the first word of each text (n + 1 values)."""
+    raw, spans = None, []
+    if special:
+        raw = data.tobytes()
+        if any(s.encode() in raw for s in special):
+            import regex
+
+            pattern = regex.compile(b"|".join(regex.escape(s.encode()) for s in sorted(special, key=len, reverse=True)))
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                spans += [m.span() for m in pattern.finditer(raw, a, b)]
+    if not spans:
+        starts = split(data, offsets)
+    else:
+        span = np.array(spans, np.int64)
+        starts = split(data, np.unique(np.concatenate((offsets, span.ravel()))))
+        k = np.maximum(np.searchsorted(span[:, 0], starts, "right") - 1, 0)
+        starts = starts[~((starts > span[k, 0]) & (starts < span[k, 1]))]
+    return starts, np.searchsorted(starts, offsets)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers below 2**28, seven bits a byte, compressed."""
+    x = x.astype(np.uint32)
+    n = 1 + (x >= 1 << 7) + (x >= 1 << 14).astype(np.int64) + (x >= 1 << 21)
+    ends = np.cumsum(n)
+    out = np.zeros(int(ends[-1]) if len(x) else 0, np.uint8)
+    for i in range(4):
+        has = n > i
+        out[ends[has] - n[has] + i] = ((x[has] >> np.uint32(7 * i)) & np.uint32(127)) | np.where(n[has] > i + 1, 128, 0).astype(np.uint32)
+    return _pressed(out.tobytes())
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    b = np.frombuffer(_unpressed(raw), np.uint8)
+    ends = np.flatnonzero(b < 128) + 1
+    starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+    out = np.zeros(len(ends), np.int64)
+    for i in range(4):
+        has = ends - starts > i
+        out[has] |= (b[starts[has] + i].astype(np.int64) & 127) << (7 * i)
+    return out
+
+
+def _pressed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True) if raw else b""
+
+
+def _unpressed(raw: bytes) -> bytes:
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True) if raw else b""
+
+
+_BLOCK = "block long, bucket int, ids array<long>, n array<long>, places binary, buckets binary, words binary"
+
+
+def _blocks(special: dict[str, int], buckets: int, block_bytes: int):
+    """Of each block, a row without bucket (its texts), and a row for each bucket (words, by falling count)."""
+    names = [c.split()[0] for c in _BLOCK.split(", ")]
+    kinds_ = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
+
+    def row(*values) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds_)], names)
 
-
-def _words(special: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
-
-        split, counts = Splitter(special), Counter()
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 32
+        held: list[tuple] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            # The same word of several slices becomes one.
+            hashes, own = np.unique(np.concatenate([h[2] for h in held]), return_inverse=True)
+            part = np.split(own, np.cumsum([len(h[2]) for h in held])[:-1])
+            places = np.concatenate([p[h[3]] for p, h in zip(part, held)])
+            count = np.bincount(places, minlength=len(hashes))
+            order = np.argsort(-count, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            bucket = (K.mix(hashes, 5) % K.U(buckets)).astype(np.int64)[order]
+            text = np.empty(len(hashes), object)
+            for p, h in zip(part, held):
+                text[p] = h[4]
+            text = text[order]
+            ids = [i for h in held for i in h[0]]
+            yield row(block, None, ids, np.concatenate([h[1] for h in held]).tolist(), _packed(rank[places]), _packed(bucket), None)
+            by = np.argsort(bucket, kind="stable")
+            cut = np.flatnonzero(np.diff(bucket[by])) + 1
+            for group in np.split(by, cut) if len(by) else []:
+                words = text[group].tolist()
+                body = np.array([len(w) for w in words], "<u4").tobytes() + b"".join(words)
+                yield row(block, int(bucket[group[0]]), None, None, None, None, len(words).to_bytes(4, "little") + _pressed(body))
+
+        for batch in K.slices(batches, limit=min(K.SLICE_BYTES, block_bytes)):
+            data, offsets = K.texts(batch.column("text"))
+            starts, first = find(data, offsets, special)
+            ends = np.append(starts[1:], len(data)) if len(starts) else starts
+            hashes, at, places = np.unique(K.hashes(data, starts, ends), return_index=True, return_inverse=True)
+            raw = data.tobytes()
+            words = np.empty(len(hashes), object)
+            words[:] = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+            if held and size + len(data) > block_bytes:
+                yield from flush()
+                held, size, block = [], 0, block + 1
+            held.append((batch.column("doc_id").to_pylist(), np.diff(first), hashes, places.astype(np.int32), words))
+            size += len(data)
+        if held:
+            yield from flush()
 
-        def flush():
-            words = list(counts)
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([counts[w] for w in words], pa.int64())], ["word", "n"])
+    return run
 
-        for batch in K.slices(batches):
-            for text in batch.column("text").to_pylist():
-                if text:
-                    counts.update(split(text))
-            if len(counts) > TASK_WORDS:
-                yield flush()
-                counts.clear()
-        if counts:
-            yield flush()
 
-    return run
+def _words(raw: bytes) -> list[bytes]:
+    n, body = int.from_bytes(raw[:4], "little"), _unpressed(raw[4:])
+    ends = (np.cumsum(np.frombuffer(body, "<u4", n), dtype=np.int64) + 4 * n).tolist()
+    return [body[a:b] for a, b in zip([4 * n, *ends[:-1]], ends)]
 
 
-def _encode_words(spec, special: dict[str, int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def tokenizer(spec: str):
+    """The library's tokenizer; read once for each process."""
+    if spec not in _tokenizers:
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_str(spec.value)
-        for batch in batches:
-            words = batch.column("word").to_pylist()
-            ids = [e.ids for e in t.encode_batch(words, add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array([np.array(i, "<u4").tobytes() for i in ids], pa.binary())], ["word", "n", "ids"])
+        own = Tokenizer.from_str(spec)
+        own.no_truncation()
+        own.no_padding()
+        _tokenizers.clear()
+        _tokenizers[spec] = own
+    return _tokenizers[spec]
 
-    return run
 
+class Encoder:
+    """Words and their ids, each encoded once."""
 
-class Table:
-    """Word -> ids, flat, with room for words that a task adds."""
-
-    def __init__(self, words: list[str], ids: list[bytes], spec: str):
-        self.spec, self.tokenizer = spec, None
-        self.index = {w: i for i, w in enumerate(words)}
-        self.base = len(words)
-        self.lengths = np.array([len(i) // 4 for i in ids], np.int64)
-        self.flat = np.frombuffer(b"".join(ids), "<u4")
-        self.words = list(words)  # the broadcast's own list lives as long as its worker
-        self.reset()
-
-    def reset(self) -> None:
-        for w in self.words[self.base :]:
-            del self.index[w]
-        del self.words[self.base :]
-        self.lengths = self.lengths[: self.base]
-        self.flat = self.flat[: self.lengths.sum()]
-        self.starts = np.concatenate(([0], np.cumsum(self.lengths)))[:-1]
-
-    def learn(self, words: list[str]) -> None:
-        if self.tokenizer is None:
-            from tokenizers import Tokenizer
-
-            self.tokenizer = Tokenizer.from_str(self.spec)
-        ids = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        for w in words:
-            self.index[w] = len(self.words)
-            self.words.append(w)
-        self.lengths = np.concatenate((self.lengths, [len(i) for i in ids])).astype(np.int64)
-        self.flat = np.concatenate((self.flat, np.array([x for i in ids for x in i], "<u4"))).astype("<u4")
-        self.starts = np.concatenate(([0], np.cumsum(self.lengths)))[:-1]
-
-    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and how many of them each word has."""
-        index = self.index
-        new = [w for w in dict.fromkeys(words) if w not in index]
-        if new:
-            if len(self.words) - self.base + len(new) > TASK_WORDS:
-                self.reset()
-                new = [w for w in dict.fromkeys(words) if w not in index]
-            self.learn(new)
-        at = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-        n = self.lengths[at]
-        ends = np.cumsum(n)
-        return self.flat[np.repeat(self.starts[at] - ends + n, n) + np.arange(ends[-1] if len(n) else 0)], n
-
-
-def _encode(special: dict[str, int], spec, table):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, words_of = Splitter(special), Table(*table.value, spec.value)
-        for batch in K.slices(batches):
-            words, counts = [], []
-            for text in batch.column("text").to_pylist():
-                own = split(text) if text else []
-                words += own
-                counts.append(len(own))
-            ids, n = words_of.encode(words)
-            ends = np.concatenate(([0], np.cumsum(n)))[np.cumsum(counts)]
-            raw = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int64) * 4), pa.py_buffer(ids)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(np.concatenate(([0], ends)))), raw.cast(pa.binary())], ["doc_id", "n_tokens", "ids"])
+    def __init__(self, spec: str):
+        self.tokenizer = tokenizer(spec)
+        self.index: dict[bytes, int] = {}
+        self.ids: list[bytes] = []
+
+    def __call__(self, words: list[bytes]) -> list[bytes]:
+        new = [w for w in words if w not in self.index]
+        for i in range(0, len(new), CALL_WORDS):
+            part = new[i : i + CALL_WORDS]
+            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
+                self.index[w] = len(self.ids)
+                self.ids.append(np.array(e.ids, "<u4").tobytes())
+        return [self.ids[self.index[w]] for w in words]
 
-    return run
 
+def _encode_bucket(spec):
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = Encoder(spec.value)
+        for batch in batches:
+            out = []
+            for raw in batch.column("words").to_pylist():
+                ids = encode(_words(raw))
+                out.append(_joined(ids))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(out, pa.binary())], ["block", "bucket", "encoded"])
 
-def word_table(docs: DataFrame, spec: str) -> DataFrame:
-    """(word, n, ids): the distinct words of all texts, their counts, and their ids as little-endian unsigned 32-bit integers."""
-    special = _special(spec)
-    words = docs.mapInArrow(_words(special), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return materialise(words.mapInArrow(_encode_words(docs.sparkSession.sparkContext.broadcast(spec), special), "word string, n long, ids binary"), "words")
+    return run
 
 
-def encode(docs: DataFrame, path: str | None = None, id: str = "doc_id", text: str = "text", table_words: int = TABLE_WORDS) -> DataFrame:
+def _joined(ids: list[bytes]) -> bytes:
+    lengths, flat = _packed(np.array([len(i) // 4 for i in ids])), _packed(np.frombuffer(b"".join(ids), "<u4"))
+    return len(lengths).to_bytes(4, "little") + lengths + flat
+
+
+def _parted(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    cut = 4 + int.from_bytes(raw[:4], "little")
+    return _unpacked(raw[4:cut]), _unpacked(raw[cut:])
+
+
+def _by_position(texts: pa.Table, encoded: pa.Table) -> pa.Table:
+    """A block's texts as ids."""
+    out = []
+    encoded = encoded.sort_by("bucket")
+    parts = [_parted(r) for r in encoded.column("encoded").to_pylist()]
+    lengths = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
+    flat = np.concatenate([p[1] for p in parts]).astype("<u4") if parts else np.zeros(0, "<u4")
+    starts = np.cumsum(lengths) - lengths
+    for row in texts.to_pylist():
+        # Words came by bucket, and by rank in each; back to the order of ranks.
+        by = np.argsort(_unpacked(row["buckets"]), kind="stable")
+        length, start = np.empty_like(lengths), np.empty_like(starts)
+        length[by], start[by] = lengths, starts
+        places, counts = _unpacked(row["places"]), np.array(row["n"], np.int64)
+        first = np.concatenate(([0], np.cumsum(counts)))
+        n_tokens, ids = [], []
+        for a in range(0, len(counts), 1 << 12):
+            b = min(a + (1 << 12), len(counts))
+            p = places[first[a] : first[b]]
+            n = length[p]
+            stop = np.concatenate(([0], np.cumsum(n)))
+            raw = flat[np.repeat(start[p] - stop[:-1], n) + np.arange(stop[-1])].tobytes()
+            cut = stop[first[a : b + 1] - first[a]]
+            n_tokens += np.diff(cut).tolist()
+            ids += [raw[4 * x : 4 * y] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())]
+        out.append(pa.table([pa.array(row["ids"], pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"]))
+    return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.binary())], ["doc_id", "n_tokens", "ids"])
+
+
+def encode(docs: DataFrame, path: str | None = None, id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, buckets: int | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids): ids as little-endian unsigned 32-bit integers."""
     docs = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sc, spec = docs.sparkSession.sparkContext, tokenizer_json(path)
-    words = word_table(docs.select("text"), spec)
-    # The count from which a word is in the table, by powers of 2 ** 0.125: a few hundred rows.
-    step = F.floor(F.log2("n") * 8).cast("int")
-    total, least = 0, 1 << 30
-    for row in words.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
-        total += row["count"]
-        if total > table_words:
-            break
-        least = row["step"]
-    top = words.where(step >= least).select("word", "ids").toPandas()
-    table = sc.broadcast((top["word"].tolist(), [bytes(b) for b in top["ids"]]))
-    return docs.mapInArrow(_encode(_special(spec), sc.broadcast(spec), table), "doc_id long, n_tokens long, ids binary")
-
-
-def pieces(spec: str) -> tuple[bytes, np.ndarray]:
-    """The bytes of all pieces one after another, and offsets by id."""
+    spec = tokenizer_json(path)
+    if buckets is None:
+        total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        buckets = int(min(BUCKETS, max(1, -(-total // BUCKET_BYTES))))
+    blocks = materialise(docs.mapInArrow(_blocks(_special(spec), buckets, block_bytes), _BLOCK), "blocks")
+    words = word_table(blocks, spec)
+    texts = blocks.where("bucket is null").select("block", "ids", "n", "places", "buckets")
+    return texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_by_position, "doc_id long, n_tokens long, ids binary")
+
+
+def word_table(blocks: DataFrame, spec: str) -> DataFrame:
+    """(block, bucket, encoded): the ids of each block's words of a bucket. A bucket's distinct words are encoded once."""
+    words = blocks.where("bucket is not null").select("block", "bucket", "words")
+    given = blocks.sparkSession.sparkContext.broadcast(spec)
+    return words.groupBy("bucket").applyInArrow(_encode_bucket(given), "block long, bucket int, encoded binary")
+
+
+def pieces(spec: str) -> list[tuple[int, bytes]]:
+    """(id, bytes) of the whole vocabulary."""
     # Fixed values of byte-level BPE: printable bytes stand for themselves, the others for code points from 256 on.
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
     j = json.loads(spec)
     vocabulary = j["model"]["vocab"] | {t["content"]: t["id"] for t in j["added_tokens"]}
-    out = [b""] * (max(vocabulary.values()) + 1)
-    for piece, i in vocabulary.items():
-        out[i] = bytes(of[c] for c in piece) if all(c in of for c in piece) else piece.encode()
-    return b"".join(out), np.concatenate(([0], np.cumsum([len(p) for p in out])))
+    return [(i, bytes(of[c] for c in piece) if all(c in of for c in piece) else piece.encode()) for piece, i in vocabulary.items()]
+
 
+def _distinct_ids(names: list[str]):
+    """The rows, in runs of a few MB of ids; behind each run a row for each distinct id in it. _rest: how many such rows follow."""
 
-def _decode(table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, offsets = table.value
-        flat, lengths = np.frombuffer(flat, np.uint8), np.diff(offsets)
-        for whole in batches:
-            for batch in K.slices(iter([whole]), "ids", 4 << 20):
-                data, ends = K.texts(batch.column("ids"))
-                ids = data.view("<u4")
-                n = lengths[ids]
-                stop = np.concatenate(([0], np.cumsum(n)))
-                raw = flat[np.repeat(offsets[ids] - stop[:-1], n) + np.arange(stop[-1])].tobytes()
-                cut = stop[ends // 4].tolist()
-                text = [raw[a:b].decode("utf-8", "replace") for a, b in zip(cut[:-1], cut[1:])]
-                at = batch.schema.get_field_index("ids")
-                yield pa.RecordBatch.from_arrays([*batch.columns[:at], batch.column(at), *batch.columns[at + 1 :], pa.array(text, pa.string())], [*batch.schema.names, "decoded"])
+        for batch in K.slices(batches, "ids", DECODE_BYTES):
+            ids = np.unique(K.texts(batch.column("ids"))[0].view("<u4"))
+            n, rest = batch.num_rows, [pa.nulls(len(ids), c.type) for c in batch.columns]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(n, pa.int32()), pa.array([len(ids)] * n, pa.int32())], [*names, "_id", "_rest"])
+            if len(ids):
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(ids.astype(np.int32)), pa.array(np.arange(len(ids))[::-1], pa.int32())], [*names, "_id", "_rest"])
+
+    return run
+
+
+def _decode(names: list[str]):
+    def decoded(batch: pa.RecordBatch, ids: np.ndarray, found: list[bytes]) -> pa.RecordBatch:
+        lengths = np.array([len(p) for p in found], np.int64)
+        flat, starts = np.frombuffer(b"".join(found), np.uint8), np.cumsum(lengths) - lengths
+        data, ends = K.texts(batch.column("ids"))
+        own = np.searchsorted(ids, data.view("<u4"))
+        n = lengths[own]
+        stop = np.concatenate(([0], np.cumsum(n)))
+        raw = flat[np.repeat(starts[own] - stop[:-1], n) + np.arange(stop[-1])].tobytes()
+        cut = stop[ends // 4].tolist()
+        text = [raw[a:b].decode("utf-8", "replace") for a, b in zip(cut[:-1], cut[1:])]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], [*names, "decoded"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, ids, found, due = [], [], [], 0
+        for batch in batches:
+            is_row = pc.is_null(batch.column("_id")).to_numpy(zero_copy_only=False)
+            cut = [0, *(np.flatnonzero(is_row[1:] != is_row[:-1]) + 1).tolist(), len(is_row)]
+            for a, b in zip(cut[:-1], cut[1:]):
+                part, rest = batch.slice(a, b - a), batch.column("_rest").slice(a, b - a).to_numpy()
+                if is_row[a]:
+                    none = part.filter(pa.array(rest == 0)).select(names)
+                    if none.num_rows:
+                        yield decoded(none, np.zeros(0, np.int64), [])
+                    rows.append(part.filter(pa.array(rest > 0)).select(names))
+                    due = max(due, int(rest.max()))
+                    continue
+                ids.append(part.column("_id").to_numpy().astype(np.int64))
+                found += [b"" if p is None else p for p in part.column("piece").to_pylist()]
+                if rest[-1] == 0:
+                    known = np.concatenate(ids)
+                    if len(known) != due or (np.diff(known) <= 0).any():
+                        raise RuntimeError("the join with the pieces has changed the order of its rows")
+                    for r in rows:
+                        if r.num_rows:
+                            yield decoded(r, known, found)
+                    rows, ids, found, due = [], [], [], 0
+        if due:
+            raise RuntimeError("the join with the pieces has lost rows")
 
     return run
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """encoded with a column decoded, the text of its ids."""
-    table = encoded.sparkSession.sparkContext.broadcast(pieces(tokenizer_json(path)))
-    return encoded.mapInArrow(_decode(table), T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
+    """encoded with a column decoded, the text of its ids. An id without a piece stands for no bytes, as in the library."""
+    spark, vocabulary = encoded.sparkSession, pieces(tokenizer_json(path))
+    table = spark.createDataFrame(vocabulary, "_piece_id int, piece binary")
+    if sum(len(p) + 64 for _, p in vocabulary) > BROADCAST_BYTES:
+        raise ValueError("the vocabulary is larger than a broadcast may be")
+    names, schema = encoded.columns, encoded.schema
+    asked = encoded.mapInArrow(_distinct_ids(names), T.StructType([*schema.fields, T.StructField("_id", T.IntegerType()), T.StructField("_rest", T.IntegerType())]))
+    # A broadcast join keeps the order of the streamed rows; _decode raises if it doesn't.
+    met = asked.join(F.broadcast(table), F.col("_id") == F.col("_piece_id"), "left").drop("_piece_id")
+    return met.mapInArrow(_decode(names), T.StructType([*schema.fields, T.StructField("decoded", T.StringType())]))
 
 
 def digest(encoded: DataFrame) -> DataFrame:

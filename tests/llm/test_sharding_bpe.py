@@ -69,26 +69,57 @@ def test_bpe_is_the_library_s(spark, edge, edge_rows, tokenizer):
     check(edge, {i: t for i, t in edge_rows if i is not None}, tokenizer)
 
 
-@pytest.mark.parametrize("table", [0, 20, 1 << 17])
-def test_bpe_on_odd_texts(spark, tokenizer, table):
+@pytest.mark.parametrize("block_bytes, buckets", [(1, 1), (300, 7), (1 << 20, 1 << 16), (1 << 20, None)])
+def test_bpe_on_odd_texts(spark, tokenizer, block_bytes, buckets):
     r = random.Random(3)
     parts = ["a", "B", "é", "'s", "'ll", "'", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "᠎", "​", "1", "²", "½", "<|endoftext|>", "<|", "🦣", "日本", "́", "...", "\x00", "　", " "]
     texts = {i: "".join(r.choice(parts) for _ in range(r.randrange(40))) for i in range(400)}
-    check(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), texts, tokenizer, table_words=table)
+    check(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), texts, tokenizer, block_bytes=block_bytes, buckets=buckets)
 
 
-def test_tasks_of_one_worker_share_nothing():
-    spec = bpe.tokenizer_json()
-    words, ids = ["a", "b"], [np.array([64], "<u4").tobytes(), np.array([65], "<u4").tobytes()]
-    for new in ("c", "d", "e"):
-        got, n = bpe.Table(words, ids, spec).encode(["b", new, "a", new])
-        assert got[:1].tolist() == [65] and got[2] == 64 and n.tolist() == [1, 1, 1, 1]
-    assert words == ["a", "b"]
+def test_words_are_the_tokenizer_s():
+    """Against the tokenizer's pattern, read by a regular expression."""
+    import regex
 
+    space = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+    pattern = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{space}\p{{L}}\p{{N}}]+|[{space}]+(?![^{space}])|[{space}]+")
+    r = random.Random(8)
+    parts = ["a", "B", "é", "s", "t", "re", "ve", "l", "ll", "d", "m", "'", "'", " ", " ", "\n", "\t", "\xa0", "1", "²", ".", "🦣", "日", "　"]
+    for _ in range(300):
+        texts = ["".join(r.choice(parts) for _ in range(r.randrange(12))) for _ in range(r.randrange(1, 8))]
+        raw = [t.encode() for t in texts]
+        data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in raw])))
+        starts, first = bpe.find(data, offsets, {})
+        words = [data[a:b].tobytes().decode() for a, b in zip(starts, [*starts[1:], len(data)])]
+        assert [words[a:b] for a, b in zip(first[:-1], first[1:])] == [pattern.findall(t) for t in texts]
 
-def test_distinct_words_are_encoded_once(spark, edge):
-    words = bpe.word_table(edge.select("text"), bpe.tokenizer_json())
-    assert words.count() == words.select("word").distinct().count()
+
+def test_places_and_ids_survive_packing():
+    r = np.random.default_rng(2)
+    for x in ([], [0], [127, 128, 1 << 14, (1 << 21) - 1, 1 << 21, (1 << 28) - 1], r.integers(0, 1 << 28, 1000)):
+        assert bpe._unpacked(bpe._packed(np.array(x, np.int64))).tolist() == list(x)
+
+
+def test_distinct_words_are_encoded_once(spark):
+    encode = bpe.Encoder(bpe.tokenizer_json())
+    calls, library = [], encode.tokenizer
+
+    class Counting:
+        def encode_batch(self, words, **options):
+            calls.extend(words)
+            return library.encode_batch(words, **options)
+
+    encode.tokenizer = Counting()
+    one, two = encode([b"a", b"bc"]), encode([b"bc", b"d", b"a"])
+    assert calls == ["a", "bc", "d"] and two[0] == one[1] and two[2] == one[0]
+
+
+def test_a_word_of_many_blocks_has_one_bucket(spark):
+    docs = spark.createDataFrame([(i, "the same words stand here") for i in range(200)], "doc_id long, text string").repartition(8)
+    blocks = docs.mapInArrow(bpe._blocks({}, 5, 100), bpe._BLOCK).where("bucket is not null").collect()
+    found = [(w, r["bucket"], r["block"]) for r in blocks for w in bpe._words(bytes(r["words"]))]
+    assert len({w for w, _, _ in found}) == len({(w, b) for w, b, _ in found}) == 5
+    assert len(found) == len(set(found)) > 50
 
 
 def test_broken_ids_decode_with_replacement(spark):
