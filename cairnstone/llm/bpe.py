@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from . import kernels as K
-from .shared import BROADCAST_BYTES, load, materialise
+from .shared import BROADCAST_BYTES, load, materialise_by
 
 #: Text bytes of a block.
 BLOCK_BYTES = 16 << 20
@@ -43,7 +43,9 @@ BUCKET_BYTES = 4 << 20
 BUCKETS = 1 << 16
 #: Words encoded in one call, and ids decoded at once.
 CALL_WORDS = 1 << 14
-DECODE_BYTES = 4 << 20
+DECODE_BYTES = 2 << 20
+#: Numbers, or words of texts, handled at once.
+PART = 1 << 18
 # White space of the tokenizer's pattern besides the blank.
 _SPACES = [*range(9, 14), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Kinds of characters.
@@ -79,9 +81,10 @@ def kinds() -> np.ndarray:
         import regex
 
         out = np.zeros(0x110000, np.uint8)
-        text = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-        for pattern, kind in ((r"\p{L}", _LETTER), (r"\p{N}", _NUMBER)):
-            out[[ord(c) for c in regex.findall(pattern, text)]] = kind
+        for at in range(0, len(out), 1 << 14):
+            text = "".join(map(chr, [c for c in range(at, at + (1 << 14)) if not 0xD800 <= c < 0xE000]))
+            for pattern, kind in ((r"\p{L}", _LETTER), (r"\p{N}", _NUMBER)):
+                out[[ord(c) for c in regex.findall(pattern, text)]] = kind
         out[_SPACES], out[0x20] = _SPACE, _BLANK
         _kinds.append(out)
     return _kinds[0]
@@ -147,24 +150,27 @@ def find(data: np.ndarray, offsets: np.ndarray, special: dict[str, int]) -> tupl
 
 def _packed(x: np.ndarray) -> bytes:
     """Numbers below 2**28, seven bits a byte, compressed."""
-    x = x.astype(np.uint32)
-    n = 1 + (x >= 1 << 7) + (x >= 1 << 14).astype(np.int64) + (x >= 1 << 21)
-    ends = np.cumsum(n)
-    out = np.zeros(int(ends[-1]) if len(x) else 0, np.uint8)
-    for i in range(4):
-        has = n > i
-        out[ends[has] - n[has] + i] = ((x[has] >> np.uint32(7 * i)) & np.uint32(127)) | np.where(n[has] > i + 1, 128, 0).astype(np.uint32)
-    return _pressed(out.tobytes())
+    parts = []
+    for at in range(0, len(x), PART):
+        part = x[at : at + PART].astype(np.uint32)
+        n = (1 + (part >= 1 << 7) + (part >= 1 << 14) + (part >= 1 << 21)).astype(np.int32)
+        ends = np.cumsum(n)
+        out = np.zeros(int(ends[-1]), np.uint8)
+        for i in range(4):
+            has = n > i
+            out[ends[has] - n[has] + i] = ((part[has] >> np.uint32(7 * i)) & np.uint32(127)) | np.where(n[has] > i + 1, 128, 0).astype(np.uint32)
+        parts.append(out)
+    return _pressed(b"".join(p.tobytes() for p in parts))
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
     b = np.frombuffer(_unpressed(raw), np.uint8)
-    ends = np.flatnonzero(b < 128) + 1
-    starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-    out = np.zeros(len(ends), np.int64)
+    ends = np.flatnonzero(b < 128).astype(np.int32) + np.int32(1)
+    starts = np.concatenate((np.zeros(min(1, len(ends)), np.int32), ends[:-1]))
+    out = np.zeros(len(ends), np.int32)
     for i in range(4):
         has = ends - starts > i
-        out[has] |= (b[starts[has] + i].astype(np.int64) & 127) << (7 * i)
+        out[has] |= (b[starts[has] + i].astype(np.int32) & 127) << np.int32(7 * i)
     return out
 
 
@@ -196,39 +202,36 @@ def _blocks(special: dict[str, int], buckets: int, block_bytes: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             # The same word of several slices becomes one.
-            hashes, own = np.unique(np.concatenate([h[2] for h in held]), return_inverse=True)
-            part = np.split(own, np.cumsum([len(h[2]) for h in held])[:-1])
-            places = np.concatenate([p[h[3]] for p, h in zip(part, held)])
-            count = np.bincount(places, minlength=len(hashes))
-            order = np.argsort(-count, kind="stable")
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            bucket = (K.mix(hashes, 5) % K.U(buckets)).astype(np.int64)[order]
-            text = np.empty(len(hashes), object)
-            for p, h in zip(part, held):
-                text[p] = h[4]
-            text = text[order]
-            ids = [i for h in held for i in h[0]]
-            yield row(block, None, ids, np.concatenate([h[1] for h in held]).tolist(), _packed(rank[places]), _packed(bucket), None)
+            sizes = [len(h[2]) for h in held]
+            hashes, at, own = distinct(np.concatenate([h[2] for h in held]))
+            places = np.concatenate([p[h[3]] for p, h in zip(np.split(own, np.cumsum(sizes)[:-1]), held)])
+            order = np.argsort(-np.bincount(places, minlength=len(hashes)), kind="stable")
+            rank = np.empty(len(order), np.int32)
+            rank[order] = np.arange(len(order), dtype=np.int32)
+            bucket = (K.mix(hashes, 5) % K.U(buckets)).astype(np.int32)[order]
+            ids, n = [i for h in held for i in h[0]], np.concatenate([h[1] for h in held])
+            length, text = np.concatenate([h[4] for h in held]), np.concatenate([h[5] for h in held])
+            held.clear()
+            yield row(block, None, ids, n, _packed(rank[places]), _packed(bucket), None)
+            del places, ids, n
+            start, at = np.cumsum(length) - length, at[order]
             by = np.argsort(bucket, kind="stable")
-            cut = np.flatnonzero(np.diff(bucket[by])) + 1
-            for group in np.split(by, cut) if len(by) else []:
-                words = text[group].tolist()
-                body = np.array([len(w) for w in words], "<u4").tobytes() + b"".join(words)
-                yield row(block, int(bucket[group[0]]), None, None, None, None, len(words).to_bytes(4, "little") + _pressed(body))
+            for group in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1) if len(by) else []:
+                words = _cut(text, start[at[group]], length[at[group]])
+                body = length[at[group]].astype("<u4").tobytes() + words.tobytes()
+                yield row(block, int(bucket[group[0]]), None, None, None, None, len(group).to_bytes(4, "little") + _pressed(body))
 
         for batch in K.slices(batches, limit=min(K.SLICE_BYTES, block_bytes)):
             data, offsets = K.texts(batch.column("text"))
             starts, first = find(data, offsets, special)
             ends = np.append(starts[1:], len(data)) if len(starts) else starts
-            hashes, at, places = np.unique(K.hashes(data, starts, ends), return_index=True, return_inverse=True)
-            raw = data.tobytes()
-            words = np.empty(len(hashes), object)
-            words[:] = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+            hashes, at, places = distinct(K.hashes(data, starts, ends))
             if held and size + len(data) > block_bytes:
                 yield from flush()
-                held, size, block = [], 0, block + 1
-            held.append((batch.column("doc_id").to_pylist(), np.diff(first), hashes, places.astype(np.int32), words))
+                K.release()
+                size, block = 0, block + 1
+            length = (ends - starts)[at]
+            held.append((batch.column("doc_id").to_pylist(), np.diff(first), hashes, places, length, _cut(data, starts[at], length)))
             size += len(data)
         if held:
             yield from flush()
@@ -236,6 +239,21 @@ def _blocks(special: dict[str, int], buckets: int, block_bytes: int):
     return run
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values in order of appearance, where each stands first, and each value's number among them."""
+    d = pa.array(x).dictionary_encode()
+    number = d.indices.to_numpy()
+    first = np.ones(len(x), bool)
+    first[1:] = number[1:] > np.maximum.accumulate(number)[:-1]
+    return d.dictionary.to_numpy(), np.flatnonzero(first), number
+
+
+def _cut(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The given stretches of data, one after another."""
+    stop = np.cumsum(lengths)
+    return data[np.repeat(starts - stop + lengths, lengths) + np.arange(stop[-1] if len(stop) else 0)]
+
+
 def _words(raw: bytes) -> list[bytes]:
     n, body = int.from_bytes(raw[:4], "little"), _unpressed(raw[4:])
     ends = (np.cumsum(np.frombuffer(body, "<u4", n), dtype=np.int64) + 4 * n).tolist()
@@ -252,6 +270,7 @@ def tokenizer(spec: str):
         own.no_padding()
         _tokenizers.clear()
         _tokenizers[spec] = own
+        K.release()  # what reading the file took
     return _tokenizers[spec]
 
 
@@ -311,16 +330,17 @@ def _by_position(texts: pa.Table, encoded: pa.Table) -> pa.Table:
         length[by], start[by] = lengths, starts
         places, counts = _unpacked(row["places"]), np.array(row["n"], np.int64)
         first = np.concatenate(([0], np.cumsum(counts)))
-        n_tokens, ids = [], []
-        for a in range(0, len(counts), 1 << 12):
-            b = min(a + (1 << 12), len(counts))
+        n_tokens, ids, a = [], [], 0
+        while a < len(counts):
+            b = max(a + 1, int(np.searchsorted(first, first[a] + PART, "right")) - 1)
             p = places[first[a] : first[b]]
             n = length[p]
             stop = np.concatenate(([0], np.cumsum(n)))
-            raw = flat[np.repeat(start[p] - stop[:-1], n) + np.arange(stop[-1])].tobytes()
+            raw = _cut(flat, start[p], n).tobytes()
             cut = stop[first[a : b + 1] - first[a]]
             n_tokens += np.diff(cut).tolist()
             ids += [raw[4 * x : 4 * y] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())]
+            a = b
         out.append(pa.table([pa.array(row["ids"], pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"]))
     return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.binary())], ["doc_id", "n_tokens", "ids"])
 
@@ -332,7 +352,8 @@ def encode(docs: DataFrame, path: str | None = None, id: str = "doc_id", text: s
     if buckets is None:
         total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
         buckets = int(min(BUCKETS, max(1, -(-total // BUCKET_BYTES))))
-    blocks = materialise(docs.mapInArrow(_blocks(_special(spec), buckets, block_bytes), _BLOCK), "blocks")
+    # Dealt by block as they are written, places need no shuffle to meet their ids.
+    blocks = materialise_by(docs.mapInArrow(_blocks(_special(spec), buckets, block_bytes), _BLOCK), "blocks", "block")
     words = word_table(blocks, spec)
     texts = blocks.where("bucket is null").select("block", "ids", "n", "places", "buckets")
     return texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_by_position, "doc_id long, n_tokens long, ids binary")
@@ -377,7 +398,7 @@ def _decode(names: list[str]):
         own = np.searchsorted(ids, data.view("<u4"))
         n = lengths[own]
         stop = np.concatenate(([0], np.cumsum(n)))
-        raw = flat[np.repeat(starts[own] - stop[:-1], n) + np.arange(stop[-1])].tobytes()
+        raw = _cut(flat, starts[own], n).tobytes()
         cut = stop[ends // 4].tolist()
         text = [raw[a:b].decode("utf-8", "replace") for a, b in zip(cut[:-1], cut[1:])]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], [*names, "decoded"])

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U = np.uint64
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 #: Bytes of text handled at once; one longer text makes a slice of its own.
 SLICE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -40,7 +42,9 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             x = np.full(max(n, 1 << 16), U(b))
             x[0] = U(1)
             out.append(np.multiply.accumulate(x))
-        have = _powers[base] = out
+        have = out
+        if n <= 4 * SLICE_BYTES:  # those of a longer text are not kept
+            _powers[base] = out
     return have[0][:n], have[1][:n]
 
 
@@ -71,6 +75,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             end = min(end, at + rows)
             yield batch.slice(at, end - at)
             at = end
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back to the system; a Python worker outlives its task."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,3 +173,8 @@ def signed(x: np.ndarray) -> np.ndarray:
 def in_bitmap(bits: np.ndarray, bits_log2: int, keys: np.ndarray) -> np.ndarray:
     at = keys.view(U) & U((1 << bits_log2) - 1)
     return (bits.view(U)[(at >> U(6)).astype(np.int64)] >> (at & U(63))) & U(1) == 1
+
+
+def bits_of(bits: np.ndarray) -> int:
+    """Bits (log2) of a filter of longs."""
+    return (64 * len(bits)).bit_length() - 1

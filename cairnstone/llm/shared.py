@@ -42,6 +42,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As materialise, dealt into files by key: a later group-by or join on key reads it without a shuffle.
+
+    The catalogue knows the table only while it is opened; its files stay in the shared folder."""
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("path", shared_path(spark, name)).bucketBy(parts, key).saveAsTable(table)
+    try:
+        out = spark.table(table)
+        out.schema  # noqa: B018  resolves the table
+        return out
+    finally:
+        spark.sql(f"DROP TABLE {table}")
+
+
 def bitmap(keys: DataFrame, column: str, bits_log2: int) -> bytes:
     """A bit for each pmod(key, 2**bits_log2). The driver receives at most 2**bits_log2 / 64 longs, whatever the input."""
     import numpy as np
@@ -51,3 +66,8 @@ def bitmap(keys: DataFrame, column: str, bits_log2: int) -> bytes:
     out = np.zeros(1 << (bits_log2 - 6), np.int64)
     out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
     return out.tobytes()
+
+
+def bits_for(rows: int) -> int:
+    """Bits (log2) of a filter of so many rows: 8 for each, 2**27 (16 MB) at most; a full filter only lets more pass."""
+    return min(27, max(16, (8 * rows).bit_length()))
