@@ -11,14 +11,20 @@ symmetric difference, and a size filter prune further; exact set intersection
 decides.
 
 Equal sets are one node of the link graph, however many documents have them. In
-an inverted list each node first meets the list's head and its predecessor by
-size; only nodes that these links leave in different components meet pairwise,
-so a family of thousands of copies costs a chain and not its square.
-
-Null and empty texts have an empty set and link with nothing; repeated rows and
-equal doc_ids are separate rows with equal results; a null doc_id takes part
-but is nobody's component_id unless no other is there; empty tables give empty
-results; columns other than id and text are not read.
+an inverted list each node meets the list's pivot, its smallest set. Nodes that
+this leaves in different components may still be linked with each other; in a
+list of a few they meet pairwise, in a longer one by what they have besides the
+pivot: two linked sets of which one isn't linked with the pivot share a token
+that only they or only the pivot has. These differences make new lists, which
+are short where the old ones were long, and so on; after LEVELS rounds whatever
+lists are left meet pairwise. A family of thousands of copies costs a few rows
+for each copy and not its square, and no link that matters is lost.
+
+Null and empty texts have an empty set and link with nothing; texts of any length
+are read whole, a slice of a batch at a time; repeated rows are separate rows with
+equal results, and rows of one doc_id but different texts each have their own; a
+null doc_id takes part but is nobody's component_id unless no other is there;
+empty tables give empty results; columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -31,16 +37,21 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import kernels as K
 from .graph import components
-from .shared import bitmap, load, materialise
+from .shared import bitmap, bits_for, load, materialise
 
 #: A token is frequent from so many documents on.
 FREQUENT = 32
 #: Entries of the broadcast table of frequent tokens; if more tokens are frequent, the least frequent of them count as rare.
 FREQUENT_ENTRIES = 1 << 20
 #: Tokens counted at once in a task.
-COUNT_TOKENS = 1 << 22
-#: Bits (log2) of the filter by which a pass finds the texts of candidates: 512 KB; a full filter only lets more rows pass.
-FILTER_BITS = 22
+COUNT_TOKENS = 1 << 20
+#: Lists of so many sets meet pairwise; longer ones by differences, in so many rounds.
+SMALL = 24
+LEVELS = 5
+#: Sets that a task remembers as sent; beyond that it may send one again.
+TASK_SETS = 1 << 16
+#: Filters have 8 bits for each row up to so many rows (16 MB); beyond, documents get theirs by a join, and tokens pass more often.
+FILTER_ROWS = 1 << 24
 SKETCH = [f"s{i}" for i in range(8)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -129,7 +140,7 @@ def orders(docs: DataFrame, k: int, lower: bool) -> tuple[bytes, bytes]:
 
 
 def _nodes(k: int, lower: bool):
-    names = ["doc_id", "fp", "n", *SKETCH]
+    names = ["doc_id", "version", "fp", "n", *SKETCH]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches):
@@ -139,14 +150,17 @@ def _nodes(k: int, lower: bool):
                 n.append(len(x))
                 sketch[i] = np.packbits(np.bincount((K.mix(x, 13) >> K.U(55)).astype(np.int64), minlength=512).astype(np.uint8) & 1)
             columns = [pa.array(c) for c in sketch.view(np.int64).T.copy()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), *columns], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), *columns], names)
 
     return run
 
 
-def _postings(k: int, lower: bool, percent: int, table):
+def _postings(k: int, lower: bool, percent: int, table, wanted=None):
+    """Prefix tokens under the first order, of distinct sets; only those that the filter lets pass, if there is one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = Orders(*table.value), set()
+        bits = None if wanted is None else np.frombuffer(wanted.value, np.int64)
         for batch in K.slices(batches):
             token, fps, ns = [], [], []
             sets = [x for x in token_sets(batch.column("text"), k, lower) if len(x)]
@@ -157,8 +171,12 @@ def _postings(k: int, lower: bool, percent: int, table):
                 fp = fingerprint(x)
                 if fp in seen:
                     continue
+                if len(seen) >= TASK_SETS:
+                    seen.clear()
                 seen.add(fp)
                 p = order.prefix(x, prefix_length(len(x), percent), 1, rank)
+                if bits is not None:
+                    p = p[K.in_bitmap(bits, K.bits_of(bits), p)]
                 token.append(p)
                 fps.append(np.full(len(p), fp))
                 ns.append(np.full(len(p), len(x)))
@@ -169,14 +187,21 @@ def _postings(k: int, lower: bool, percent: int, table):
 
 
 def _sets(k: int, lower: bool, percent: int, table, wanted):
+    """Tokens of the documents whose ids the filter lets pass."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order, bits, seen = Orders(*table.value), np.frombuffer(wanted.value, np.int64), set()
+        order, seen = Orders(*table.value), set()
+        bits = None if wanted is None else np.frombuffer(wanted.value, np.int64)
         for batch in K.slices(batches):
-            rows, ids = [], batch.column("doc_id").fill_null(0).to_pylist()
-            for id, x in zip(ids, token_sets(batch.column("text"), k, lower)):
+            if bits is not None:
+                batch = batch.filter(pa.array(K.in_bitmap(bits, K.bits_of(bits), batch.column("doc_id").fill_null(0).to_numpy())))
+            rows = []
+            for x in token_sets(batch.column("text"), k, lower):
                 fp = fingerprint(x)
-                if not len(x) or fp in seen or not K.in_bitmap(bits, FILTER_BITS, np.array([fp ^ id]))[0]:
+                if not len(x) or fp in seen:
                     continue
+                if len(seen) >= TASK_SETS:
+                    seen.clear()
                 seen.add(fp)
                 rank, p = order.rank(x), prefix_length(len(x), percent)
                 # Low halves of tokens can only add overlaps to the filter.
@@ -201,107 +226,163 @@ def _verify(percent: int):
     return run
 
 
+def _deltas(percent: int, table):
+    """Of each set (tokens ta) of a group with a pivot (tokens tb): the tokens by which it may meet its likes, keyed with the pivot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = Orders(*table.value)
+        for batch in batches:
+            key, fps = [], []
+            for a, b, ta, tb in zip(batch.column("a").to_pylist(), batch.column("b").to_numpy(), batch.column("ta"), batch.column("tb")):
+                x, pivot = np.frombuffer(ta.as_buffer(), K.U), np.frombuffer(tb.as_buffer(), K.U)
+                token = np.setdiff1d(x, pivot, assume_unique=True)
+                # A linked set lacks at most `most` of x's tokens.
+                most = (100 - percent) * len(x) // 100
+                if len(token) > most:
+                    token = order.prefix(token, most + 1, 1, order.rank(token))
+                else:
+                    token = np.concatenate((token, np.setdiff1d(pivot, x, assume_unique=True)))
+                key.append(K.mix(token ^ K.mix(np.array([b], np.int64).view(K.U), 17), 19))
+                fps.append(np.full(len(token), a, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(K.signed(np.concatenate(key))), pa.array(np.concatenate(fps))], ["key", "fp"])
+
+    return run
+
+
 def _may_link(a: Callable[[str], F.Column], b: Callable[[str], F.Column], percent: int) -> F.Column:
     """Size and sketch filters; neither drops a pair of the wanted similarity."""
     far = sum((F.bit_count(a(s).bitwiseXOR(b(s))) for s in SKETCH[1:]), F.bit_count(a(SKETCH[0]).bitwiseXOR(b(SKETCH[0]))))
-    return _sizes(a, b, percent) & ((100 + percent) * far <= (100 - percent) * (a("n") + b("n")))
-
+    near = 100 * F.least(a("n"), b("n")) >= percent * F.greatest(a("n"), b("n"))
+    return near & ((100 + percent) * far <= (100 - percent) * (a("n") + b("n")))
 
-def _sizes(a: Callable[[str], F.Column], b: Callable[[str], F.Column], percent: int) -> F.Column:
-    return 100 * F.least(a("n"), b("n")) >= percent * F.greatest(a("n"), b("n"))
 
-
-def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id: str = "doc_id", text: str = "text", lower: bool = True) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row: links are pairs with Jaccard similarity >= percent / 100."""
-    docs = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+def _jaccard(docs: DataFrame, k: int, percent: int, lower: bool) -> DataFrame:
+    """docs: doc_id, version, text. Returns doc_id, version, n_shingles, component_id."""
     sc = docs.sparkSession.sparkContext
     table = sc.broadcast(orders(docs, k, lower))
-    nodes = materialise(docs.mapInArrow(_nodes(k, lower), "doc_id long, fp long, n long, " + ", ".join(f"{s} long" for s in SKETCH)), "nodes")
+    nodes = materialise(docs.mapInArrow(_nodes(k, lower), "doc_id long, version long, fp long, n long, " + ", ".join(f"{s} long" for s in SKETCH)), "nodes")
     sets = nodes.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", *SKETCH)])
-
-    # Inverted lists under the first order: each row with its list's head and its predecessor by size.
-    by = Window.partitionBy("token").orderBy("n", "fp")
-    me = F.struct("n", "fp")
-    lists = docs.select("text").mapInArrow(_postings(k, lower, percent, table), "token long, fp long, n long")
-    lists = lists.select("token", "fp", "n", F.lag(me).over(by).alias("prev"), F.lead(me).over(by).alias("next"), F.first(me).over(by).alias("head"), F.lag(me, 2).over(by).alias("prev2"), F.lead(me, 2).over(by).alias("next2"))
-    # A pair of one list that is neither (head, row) nor (predecessor, row) has two such rows, by the order of sizes.
-    later = (F.col("prev2.fp") != F.col("head.fp")) & (100 * F.col("prev2.n") >= percent * F.col("n"))
-    earlier = (F.col("fp") != F.col("head.fp")) & (100 * F.col("n") >= percent * F.col("next2.n"))
-    crowded = F.coalesce(later, F.lit(False)) | F.coalesce(earlier, F.lit(False))
-    lists = materialise(lists.where("prev is not null or next is not null").select("token", "fp", "n", "prev", "head", crowded.alias("crowded")), "lists")
-
-    def paired(with_: str) -> DataFrame:
-        other = F.col(with_)
-        pairs = lists.where(F.col(f"{with_}.fp") != F.col("fp")).where(_sizes(lambda c: F.col(c), lambda c: other[c], percent))
-        return pairs.select(F.least("fp", f"{with_}.fp").alias("a"), F.greatest("fp", f"{with_}.fp").alias("b"))
+    sets = materialise(sets, "sets")
+
+    # Inverted lists under the first order, of two sets or more.
+    kinds = "token long, fp long, n long"
+    postings = docs.select("text").mapInArrow(_postings(k, lower, percent, table), kinds)
+    shared = materialise(postings.groupBy("token").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("token"), "shared")
+    wanted = sc.broadcast(bitmap(shared, "token", bits_for(shared.count())))
+    postings = docs.select("text").mapInArrow(_postings(k, lower, percent, table, wanted), kinds)
+    # Linked sets are of the same class of sizes or of adjacent ones; each set is in its class and the next.
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + F.lit(1e-9)).cast("int")
+    lists = postings.join(shared, "token", "left_semi").select(F.explode(F.array(band, band + 1)).alias("band"), "token", "fp", "n")
+    lists = materialise(lists.select(F.xxhash64("token", "band").alias("key"), "fp", "n").distinct(), "lists")
+
+    def grouped(lists: DataFrame) -> DataFrame:
+        """(b, a): a pivot, and each other set of its lists."""
+        pivot = lists.groupBy("key").agg(F.min(F.struct("n", "fp")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", F.col("p.fp").alias("b"))
+        return materialise(lists.join(pivot, "key").where("fp <> b").select("b", F.col("fp").alias("a")).distinct(), "groups")
 
     def sketched(pairs: DataFrame) -> DataFrame:
+        """The pairs that sizes and sketches leave. Both ends' come at once, by one shuffle of each."""
         rows = sets.select("fp", "n", *SKETCH)
         a, b = (rows.select(*[F.col(c).alias(f"{side}_{c}") for c in rows.columns]) for side in "ab")
         joined = pairs.join(a, F.col("a") == F.col("a_fp")).join(b, F.col("b") == F.col("b_fp"))
-        return joined.where(_may_link(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"), percent)).select("a", "b")
+        return materialise(joined.where(_may_link(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"), percent)).select("a", "b"), "candidates")
+
+    full: DataFrame | None = None
+
+    def fetch(ends: DataFrame) -> None:
+        """Brings tokens, and prefixes under the other orders, of sets that are not there yet. Of equal sets the first document's is read."""
+        nonlocal full
+        ends = ends if full is None else ends.join(full.select("fp"), "fp", "left_anti")
+        ends = materialise(ends.join(sets.select("fp", "rep"), "fp").select("fp", F.coalesce("rep", F.lit(0)).alias("key")), "ends")
+        n, of, wanted = ends.count(), docs, None
+        if not n:
+            return
+        if n <= FILTER_ROWS:
+            wanted = sc.broadcast(bitmap(ends, "key", bits_for(n)))
+        else:
+            of = docs.join(ends.select("key").distinct(), F.coalesce("doc_id", F.lit(0)) == F.col("key"), "left_semi")
+        more = of.select("doc_id", "text").mapInArrow(_sets(k, lower, percent, table, wanted), "fp long, tokens binary, p2 array<int>, p3 array<int>")
+        more = materialise(more.join(ends.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "tokens")
+        full = more if full is None else full.unionByName(more)
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        """Tokens, and prefixes under the other orders, of all ends of pairs."""
-        ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-        # Of equal sets only the first document's is read again.
-        first_of = ends.join(sets.select("fp", "rep"), "fp").select(F.col("fp").bitwiseXOR(F.coalesce("rep", F.lit(0))).alias("key"))
-        wanted = sc.broadcast(bitmap(first_of, "key", FILTER_BITS))
-        return materialise(docs.mapInArrow(_sets(k, lower, percent, table, wanted), "fp long, tokens binary, p2 array<int>, p3 array<int>"), "sets").dropDuplicates(["fp"])
+    def with_tokens(pairs: DataFrame) -> DataFrame:
+        blobs = full.select("fp", "tokens")
+        return pairs.join(blobs.select(F.col("fp").alias("a"), F.col("tokens").alias("ta")), "a").join(blobs.select(F.col("fp").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb")
 
-    def verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame) -> DataFrame:
         """Pairs that also share prefix tokens under the other orders, and then have the similarity."""
         prefixes = full.select("fp", "p2", "p3")
         kept = pairs.join(prefixes.select(F.col("fp").alias("a"), F.col("p2").alias("a2"), F.col("p3").alias("a3")), "a").join(prefixes.select(F.col("fp").alias("b"), F.col("p2").alias("b2"), F.col("p3").alias("b3")), "b")
         kept = kept.where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b")
-        blobs = full.select("fp", "tokens")
-        kept = kept.join(blobs.select(F.col("fp").alias("a"), F.col("tokens").alias("ta")), "a").join(blobs.select(F.col("fp").alias("b"), F.col("tokens").alias("tb")), "b")
-        return materialise(kept.select("a", "b", "ta", "tb").mapInArrow(_verify(percent), "a long, b long"), "links")
+        return materialise(with_tokens(kept).mapInArrow(_verify(percent), "a long, b long"), "links")
 
-    first = materialise(paired("head").unionByName(paired("prev")).distinct(), "pairs")
-    candidates = materialise(sketched(first), "candidates")
-    links = verified(candidates, sets_of(candidates))
-    label = materialise(components(links, "a", "b"), "labels")
+    def ends_of(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
 
-    # Nodes of one list that are still apart meet pairwise.
-    tagged = lists.where("crowded").select("token", "fp").join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("c", F.coalesce("component", "fp"))
-    apart = tagged.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("token")
-    rest = materialise(tagged.join(apart, "token", "left_semi").select("token", "fp", "c").join(sets.select("fp", "n", *SKETCH), "fp"), "rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    met = (F.col("x.token") == F.col("y.token")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.c") != F.col("y.c"))
-    more = x.join(y, met & _may_link(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"), percent)).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
-    more = materialise(more.join(first, ["a", "b"], "left_anti"), "more")
-    # A few pairs of each component are verified at a time, more of them in each round; the links found spare most
-    # of the others, whose ends they bring into one component. It ends when no untested pair is between two.
-    full, tested, each = None, None, 1
-    while True:
-        of = lambda end: label.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
-        pending = more if tested is None else more.join(tested, ["a", "b"], "left_anti")
-        pending = pending.join(of("a"), "a", "left").join(of("b"), "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
-        rank = lambda c: F.row_number().over(Window.partitionBy(c).orderBy("a", "b"))
-        chosen = [pending.withColumn("r", rank(c)).where(F.col("r") <= each).select("a", "b") for c in ("ca", "cb")]
-        chosen = materialise(chosen[0].unionByName(chosen[1]).distinct(), "chosen")
-        if chosen.isEmpty():
+    groups = grouped(lists)
+    candidates = sketched(groups)
+    fetch(ends_of(candidates))
+    links = verified(candidates) if full is not None else candidates
+    label = materialise(components(links, "a", "b"), "labels")
+    members, by_group = groups, True
+    for level in range(LEVELS + 1):
+        # Members of one key: here all sets of a pivot but itself, further down the sets of a list.
+        rows = (members.select(F.col("b").alias("key"), F.col("a").alias("fp")) if by_group else members.select("key", "fp"))
+        rows = rows.join(label.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("c"))
+        apart = rows.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("size")).where("c0 <> c1").select("key", "size")
+        rows = materialise(rows.join(apart, "key"), "apart")
+        if rows.isEmpty():
+            break
+        small = rows if level == LEVELS else rows.where(F.col("size") <= SMALL)
+        full_rows = small.join(sets.select("fp", "n", *SKETCH), "fp")
+        x, y = full_rows.alias("x"), full_rows.alias("y")
+        met = (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.c") != F.col("y.c"))
+        pairs = materialise(x.join(y, met & _may_link(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"), percent)).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct(), "pairs")
+        large = rows.where(F.col("size") > SMALL)
+        deep = level < LEVELS and not large.isEmpty()
+        if deep and not by_group:
+            # A long list of differences: its pivot meets all, and their differences go on.
+            own = lists.join(large.select("key").distinct(), "key", "left_semi")
+            groups = grouped(own)
+            pairs = materialise(pairs.unionByName(sketched(groups)).distinct(), "pairs")
+        elif deep:
+            groups = large.select(F.col("key").alias("b"), F.col("fp").alias("a"))
+        fetch(ends_of(pairs).unionByName(ends_of(groups)).distinct() if deep else ends_of(pairs))
+        if deep:
+            found = materialise(with_tokens(groups).mapInArrow(_deltas(percent, table), "key long, fp long").distinct(), "deltas")
+            again = found.groupBy("key").agg(F.min("fp").alias("a0"), F.max("fp").alias("a1")).where("a0 <> a1").select("key")
+            lists = materialise(found.join(again, "key", "left_semi").join(sets.select("fp", "n"), "fp").select("key", "fp", "n"), "lists")
+        if full is not None:
+            links = links.unionByName(verified(pairs))
+            label = materialise(components(links, "a", "b"), "labels")
+        if not deep:
             break
-        full = sets_of(more) if full is None else full
-        links = links.unionByName(verified(chosen, full))
-        label = materialise(components(links, "a", "b"), "labels")
-        tested = chosen if tested is None else tested.unionByName(chosen)
-        each *= 8
+        members, by_group = lists, False
 
     member = sets.select("fp", "rep").join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("c", F.coalesce("component", "fp"))
     smallest = member.groupBy("c").agg(F.min("rep").alias("smallest"))
     of = member.join(smallest, "c").select("fp", "smallest")
     # An empty set is a component of its own; its fp is null, so the hot value never meets the join.
-    out = nodes.where("n > 0").select("doc_id", "fp", "n").join(of, "fp").select("doc_id", F.col("n").alias("n_shingles"), F.col("smallest").alias("component_id"))
-    return out.unionByName(nodes.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    out = nodes.where("n > 0").select("doc_id", "version", "fp", "n").join(of, "fp").select("doc_id", "version", F.col("n").alias("n_shingles"), F.col("smallest").alias("component_id"))
+    return out.unionByName(nodes.where("n = 0").select("doc_id", "version", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def _versions(docs: DataFrame, id: str, text: str) -> DataFrame:
+    return docs.select(F.col(id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("version"), F.col(text).alias("text"))
+
+
+def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id: str = "doc_id", text: str = "text", lower: bool = True) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row: links are pairs with Jaccard similarity >= percent / 100."""
+    return _jaccard(_versions(docs, id, text), k, percent, lower).drop("version")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, of each component only those with its smallest doc_id; rows with an empty set or a null id all stay."""
-    found = jaccard_components(docs, k, percent, id, text)
-    gone = found.where(F.col("doc_id").isNotNull() & (F.col("component_id") < F.col("doc_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id] == gone["_gone"], "left_anti")
+    """The rows of docs, of each component only those with its smallest doc_id; rows with an empty set or a null id all stay.
+
+    A row goes for its own text: another of the same doc_id stays if its text is linked with none of a smaller id."""
+    found = _jaccard(_versions(docs, id, text), k, percent, True)
+    gone = found.where(F.col("doc_id").isNotNull() & (F.col("component_id") < F.col("doc_id"))).select(F.col("doc_id").alias("_gone"), F.col("version").alias("_version")).distinct()
+    return docs.join(gone, (docs[id] == gone["_gone"]) & (F.xxhash64(docs[text]) == gone["_version"]), "left_anti")
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

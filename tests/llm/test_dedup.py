@@ -133,6 +133,48 @@ def test_a_family_of_near_copies(spark):
     assert sorted(map(tuple, got)) == sorted(components(rows, 3, 90))
 
 
+def test_long_lists_meet_by_differences(spark, monkeypatch):
+    """Families whose copies differ a little or a lot from the pivot, from each other, and in the same words; lists of every length."""
+    import random
+
+    from conftest import documents, words
+
+    r, rows = random.Random(6), []
+    for family in range(4):
+        base = words(family, (60, 60, 200, 25)[family], 10_000)
+        tail = words(70 + family, 9, 10_000)
+        for i in range(70):
+            w = list(base)
+            for _ in range(r.choice([1, 2, 3, 4])):
+                w[r.randrange(len(w))] = f"z{r.randrange(10**6)}"
+            if i % 3 == 0:
+                at = (i % 5) * 4
+                w[at : at + 2] = ["same", f"edit{i % 5}"]
+            if i % 4 == 0:
+                w += tail[: i % 9]
+            rows.append((1000 * family + i, " ".join(w)))
+    docs = documents(spark, rows)
+    for small, levels, p in ((2, 1, 90), (4, 5, 70)):
+        monkeypatch.setattr(ngram_join, "SMALL", small)
+        monkeypatch.setattr(ngram_join, "LEVELS", levels)
+        assert sorted(map(tuple, ngram_join.jaccard_components(docs, 3, p).collect())) == sorted(components(rows, 3, p)), (small, levels, p)
+
+
+def test_filters_and_joins_find_the_same_sets(spark, edge, edge_rows, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FILTER_ROWS", 0)
+    got = ngram_join.jaccard_components(edge, 3, 90).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, components(edge_rows, 3, 90)))
+
+
+def test_a_row_goes_for_its_own_text(spark):
+    from conftest import documents, words
+
+    a, b = " ".join(words(1, 60)), " ".join(words(2, 60))
+    rows = [(3, a), (7, a + " x"), (7, b), (7, a), (None, a), (None, None), (8, None), (8, ""), (8, None)]
+    kept = ngram_join.keep_one(documents(spark, rows)).collect()
+    assert sorted(repr((r["doc_id"], r["text"])) for r in kept) == sorted(map(repr, [(3, a), (7, b), (None, a), (None, None), (8, None), (8, ""), (8, None)]))
+
+
 def test_one_of_a_group_stays(spark, edge, edge_rows):
     kept = {(r["doc_id"], r["text"]) for r in ngram_join.keep_one(edge).select("doc_id", "text").collect()}
     want = {r for r, (d, _, c) in zip(edge_rows, components(edge_rows, 5, 80)) if d is None or c is None or c >= d}
