@@ -88,31 +88,64 @@ def test_blocks_of_items_and_edge_cases(spark, edge, empty):
     assert {r[:2] for r in one} >= {(5, 1)} and {r[1] for r in one} == {1}
     assert all(r[2:] == (10, 40, 0, 30) for r in one if r[0] == 5)
     assert decontaminate.leaks(empty, bench).count() == 0 and decontaminate.leaks(edge, bench.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, text), (None, "other words"), (9, text), (9, "more words"), (9, text)], "doc_id long, text string")
+    left = decontaminate.clean(odd, bench, block_bytes=100)
+    assert sorted(repr(tuple(r)) for r in left.collect()) == sorted(map(repr, [(None, "other words"), (9, "more words")]))
     kept = decontaminate.clean(edge, bench)
     assert kept.columns == edge.columns and kept.count() == edge.count() - sum(edge.where(f"doc_id = {d}").count() for d in {r[0] for r in one})
 
 
 def brute(x, ids, k=10, every=100):
-    v, out = np.floor(np.asarray(x) * 1024).astype(np.int64), set()
-    for i, q in zip(ids, v):
+    """Rankings of every query row against all other rows, sorted."""
+    v, out = np.floor(np.asarray(x) * 1024).astype(np.int64), []
+    for row, (i, q) in enumerate(zip(ids, v)):
         if i % every == 0:
             s = v @ q
-            best = [j for j in np.lexsort((ids, -s)) if ids[j] != i][:k]
-            out |= {(i, n, int(ids[j]), int(s[j])) for n, j in enumerate(best, 1)}
-    return out
+            best = [j for j in np.lexsort((ids, -s)) if j != row][:k]
+            out += [(int(i), n, int(ids[j]), int(s[j])) for n, j in enumerate(best, 1)]
+    return sorted(out)
+
+
+BAD = [(None, [1.0] * 8), (5000, None), (5100, [None] * 8), (5200, [float("nan")] * 8), (5300, [float("inf")] * 8)]
 
 
 @pytest.mark.parametrize("spread, bucket", [(0.0, 256), (1.5, 256), (1.5, 64)])
 def test_products(spark, spread, bucket):
+    """Repeated vectors, repeated rows, and rows of one id with different vectors, queries among them."""
     rng = np.random.default_rng(2)
     x = rng.normal(size=(1500, 8)) * np.exp(rng.normal(size=(1500, 1)) * spread)
     x[::5] = x[0]
-    ids = np.arange(1500)
-    bad = [(None, [1.0] * 8), (5000, None), (5100, [None] * 8), (5200, [float("nan")] * 8), (5300, [float("inf")] * 8)]
-    rows = [(int(i), v.tolist()) for i, v in zip(ids, x)] + bad + [(100, x[100].tolist())]
+    ids = np.concatenate((np.arange(1500), [100, 200, 200, 7]))
+    x = np.concatenate((x, x[[100, 3, 4, 9]]))
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x)] + BAD
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = [tuple(r) for r in products.top_products(df, bucket_rows=bucket).collect()]
-    assert len(got) == 150 and set(got) == brute(x, ids)
+    assert len(got) == 180 and sorted(got) == brute(x, ids)
+
+
+def test_products_sql_on_repeated_rows(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 8))
+    x[50:90] = x[:40]
+    rows = [(int(i), v.tolist()) for i, v in zip([*range(280), *range(0, 200, 10)], x)] + BAD
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = sorted(tuple(r) for r in products.op9_top_products(spark, str(tmp_path)).collect())
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == sorted(c.sql(products.ORACLE).fetchall())
+
+
+def test_vectors_of_large_components(spark):
+    """Doubles beyond 2**52 are integers; what no long holds counts as the nearest one."""
+    x = [[2.0**44, 1.0], [2.0**43, 2.0], [-(2.0**45), 3.0], [2.0**50, 0.0], [1e300, 0.0], [0.5, -1e300]]
+    df = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")
+    most, least = 2**63 - 1, -(2**63)
+    v = [[max(least, min(most, int(np.floor(c * 1024)))) if abs(c) < 1e299 else (most if c > 0 else least) for c in r] for r in x]
+    s = [max(least, min(most, sum(a * b for a, b in zip(v[0], r)))) for r in v]
+    want = [(0, n, j, s[j]) for n, j in enumerate(sorted(range(1, 6), key=lambda j: (-s[j], j)), 1)]
+    assert sorted(map(tuple, products.top_products(df).collect())) == want
 
 
 def test_few_candidates_dimensions_and_nothing(spark):
