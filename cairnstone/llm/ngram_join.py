@@ -6,9 +6,9 @@ tokens of each under *any* global order, so candidates must do so under three
 orders at once: they meet by an inverted list of their prefixes under the first
 order, and stay only if their prefixes overlap under the second and third. Each
 order puts frequent tokens last (by counts over the whole table) and breaks
-ties by its own hash. A parity sketch, whose distance never exceeds the
-symmetric difference, and a size filter prune further; exact set intersection
-decides.
+ties by its own hash. Parity sketches, whose distance never exceeds the symmetric
+difference (one of 512 bits, and for long sets one that grows with them), and a
+size filter prune further; exact set intersection decides.
 
 Equal sets are one node of the link graph, however many documents have them. In
 an inverted list each node meets the list's pivot, its smallest set. Nodes that
@@ -47,10 +47,12 @@ FREQUENT_ENTRIES = 1 << 20
 COUNT_TOKENS = 1 << 20
 #: Lists of so many sets meet pairwise; longer ones by differences, in so many rounds.
 SMALL = 24
-LEVELS = 5
+LEVELS = 2
+#: Sets of more tokens than this have a second sketch, of two to four bits for each token.
+LONG = 1000
 #: Sets that a task remembers as sent; beyond that it may send one again.
 TASK_SETS = 1 << 16
-#: Filters have 8 bits for each row up to so many rows (16 MB); beyond, documents get theirs by a join, and tokens pass more often.
+#: Filters have 16 bits for each row up to so many rows (32 MB); beyond, documents get theirs by a join, and tokens pass more often.
 FILTER_ROWS = 1 << 24
 SKETCH = [f"s{i}" for i in range(8)]
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -139,18 +141,44 @@ def orders(docs: DataFrame, k: int, lower: bool) -> tuple[bytes, bytes]:
     return tokens[order].tobytes(), np.minimum(rows["rank"].to_numpy(np.int64), 255)[order].astype(np.uint8).tobytes()
 
 
+def long_sketch(x: np.ndarray) -> bytes:
+    """Parities of the tokens' bins; the bins are a power of two, so that a sketch folds into a smaller one."""
+    bins = 1 << (2 * len(x) - 1).bit_length()
+    return np.packbits(np.bincount((K.mix(x, 31) & K.U(bins - 1)).astype(np.int64), minlength=bins).astype(np.uint8) & 1).tobytes()
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if len(x) > len(y):
+        x, y = y, x
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), 0)).sum())
+
+
+def _close(percent: int):
+    """Pairs of long sets whose second sketches let them be linked."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far = np.array([sketch_distance(a, b) for a, b in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())], np.int64)
+            total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array((100 + percent) * far <= (100 - percent) * total))
+
+    return run
+
+
 def _nodes(k: int, lower: bool):
-    names = ["doc_id", "version", "fp", "n", *SKETCH]
+    names = ["doc_id", "version", "fp", "n", "sk", *SKETCH]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in K.slices(batches):
-            fp, n, sketch = [], [], np.zeros((batch.num_rows, 64), np.uint8)
+            fp, n, sk, sketch = [], [], [], np.zeros((batch.num_rows, 64), np.uint8)
             for i, x in enumerate(token_sets(batch.column("text"), k, lower)):
                 fp.append(fingerprint(x) if len(x) else None)
                 n.append(len(x))
+                sk.append(long_sketch(x) if len(x) > LONG else None)
                 sketch[i] = np.packbits(np.bincount((K.mix(x, 13) >> K.U(55)).astype(np.int64), minlength=512).astype(np.uint8) & 1)
             columns = [pa.array(c) for c in sketch.view(np.int64).T.copy()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), *columns], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(sk, pa.binary()), *columns], names)
 
     return run
 
@@ -260,8 +288,8 @@ def _jaccard(docs: DataFrame, k: int, percent: int, lower: bool) -> DataFrame:
     """docs: doc_id, version, text. Returns doc_id, version, n_shingles, component_id."""
     sc = docs.sparkSession.sparkContext
     table = sc.broadcast(orders(docs, k, lower))
-    nodes = materialise(docs.mapInArrow(_nodes(k, lower), "doc_id long, version long, fp long, n long, " + ", ".join(f"{s} long" for s in SKETCH)), "nodes")
-    sets = nodes.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", *SKETCH)])
+    nodes = materialise(docs.mapInArrow(_nodes(k, lower), "doc_id long, version long, fp long, n long, sk binary, " + ", ".join(f"{s} long" for s in SKETCH)), "nodes")
+    sets = nodes.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "sk", *SKETCH)])
     sets = materialise(sets, "sets")
 
     # Inverted lists under the first order, of two sets or more.
@@ -280,12 +308,21 @@ def _jaccard(docs: DataFrame, k: int, percent: int, lower: bool) -> DataFrame:
         pivot = lists.groupBy("key").agg(F.min(F.struct("n", "fp")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", F.col("p.fp").alias("b"))
         return materialise(lists.join(pivot, "key").where("fp <> b").select("b", F.col("fp").alias("a")).distinct(), "groups")
 
+    def close(pairs: DataFrame, name: str) -> DataFrame:
+        """pairs: a, b, na, nb. Those that the long sets' sketches leave."""
+        is_long = (F.col("na") > LONG) & (F.col("nb") > LONG)
+        pairs = materialise(pairs, name)
+        sk = sets.where(F.col("n") > LONG).select("fp", "sk")
+        a, b = (sk.select(F.col("fp").alias(c), F.col("sk").alias(f"s{c}")) for c in "ab")
+        long = pairs.where(is_long).join(a, "a").join(b, "b").mapInArrow(_close(percent), "a long, b long")
+        return materialise(pairs.where(~is_long).select("a", "b").unionByName(long), name)
+
     def sketched(pairs: DataFrame) -> DataFrame:
-        """The pairs that sizes and sketches leave. Both ends' come at once, by one shuffle of each."""
+        """The pairs that sizes and sketches leave."""
         rows = sets.select("fp", "n", *SKETCH)
         a, b = (rows.select(*[F.col(c).alias(f"{side}_{c}") for c in rows.columns]) for side in "ab")
         joined = pairs.join(a, F.col("a") == F.col("a_fp")).join(b, F.col("b") == F.col("b_fp"))
-        return materialise(joined.where(_may_link(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"), percent)).select("a", "b"), "candidates")
+        return close(joined.where(_may_link(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"), percent)).select("a", "b", F.col("a_n").alias("na"), F.col("b_n").alias("nb")), "candidates")
 
     full: DataFrame | None = None
 
@@ -337,7 +374,8 @@ def _jaccard(docs: DataFrame, k: int, percent: int, lower: bool) -> DataFrame:
         full_rows = small.join(sets.select("fp", "n", *SKETCH), "fp")
         x, y = full_rows.alias("x"), full_rows.alias("y")
         met = (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.c") != F.col("y.c"))
-        pairs = materialise(x.join(y, met & _may_link(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"), percent)).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct(), "pairs")
+        near = x.join(y, met & _may_link(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"), percent))
+        pairs = close(near.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct(), "pairs")
         large = rows.where(F.col("size") > SMALL)
         deep = level < LEVELS and not large.isEmpty()
         if deep and not by_group:

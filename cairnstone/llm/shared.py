@@ -69,5 +69,5 @@ def bitmap(keys: DataFrame, column: str, bits_log2: int) -> bytes:
 
 
 def bits_for(rows: int) -> int:
-    """Bits (log2) of a filter of so many rows: 8 for each, 2**27 (16 MB) at most; a full filter only lets more pass."""
-    return min(27, max(16, (8 * rows).bit_length()))
+    """Bits (log2) of a filter of so many rows: 16 for each or more, 2**28 (32 MB) at most; a full filter only lets more pass."""
+    return min(28, max(16, (16 * rows).bit_length()))
