@@ -26,6 +26,7 @@ columns are not read.
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +43,7 @@ BLOCK_BYTES = 16 << 20
 BUCKET_BYTES = 4 << 20
 BUCKETS = 1 << 16
 #: Words encoded in one call, and ids decoded at once.
-CALL_WORDS = 1 << 14
+CALL_WORDS = 1 << 12
 DECODE_BYTES = 2 << 20
 #: Numbers, or words of texts, handled at once.
 PART = 1 << 18
@@ -263,6 +264,7 @@ def _words(raw: bytes) -> list[bytes]:
 def tokenizer(spec: str):
     """The library's tokenizer; read once for each process."""
     if spec not in _tokenizers:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are what runs in parallel
         from tokenizers import Tokenizer
 
         own = Tokenizer.from_str(spec)

@@ -8,14 +8,16 @@ is then scored by a lexicon of words and word beginnings that speak for toxic
 rows: a logistic regression over how many distinct words of a text have each,
 fitted to a bounded sample of labelled rows (SAMPLE_ROWS of each class at most).
 
-A lattice is decoded only if its skeleton (look-alikes merged, separators
-dropped, repeats collapsed) is that of a lexicon word's: no other can restore to
-one, so nothing is lost. Look-alikes at a word's edges may be letters or signs
-around it: each such reading has its own lattice.
+A separator stands for nothing or for a blank, so a restored word begins where its
+token does or behind a separator. From each such place a lattice is decoded if its
+skeleton (look-alikes merged, separators dropped, repeats collapsed) begins with
+that of a lexicon word: no other can restore to one. Look-alikes at a word's edges
+may be letters or signs around it: each such reading has its own lattice.
 
 A null or empty text has no features and takes the score of the intercept. With nothing to
-learn from, the lexicon is empty. Repeated rows give equal rows, texts are read
-whole, empty tables give empty results. Only text is an input of a score.
+learn from, the lexicon is empty. A null doc_id is kept and scored, and is never
+labelled. Repeated rows give equal rows, texts are read whole, empty tables give
+empty results. Only text is an input of a score.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ RIDGE = 1.0
 PRIOR_ROWS = 2.0
 PREFIXES = range(4, 8)
 #: Words remembered in a task.
-TASK_WORDS = 1 << 19
+TASK_WORDS = 1 << 17
 # What a character may stand for.
 LOOKALIKES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g",
@@ -160,6 +162,22 @@ class Reader:
     def restore(self, word: str) -> str:
         return viterbi(lattice(word), self.model)
 
+    def begun(self, plain: str) -> list[str]:
+        """plain from where a lexicon word may begin: whole from its first character, and from behind a separator as far as such a word can reach."""
+        most, s, out = max(self.lengths, default=0), "", []
+        for i in range(len(plain) - 1, -1, -1):
+            c = skeleton(plain[i])
+            s = s if s.startswith(c) else (c + s)[:most]
+            if (not i or plain[i - 1] in SEPARATORS) and plain[i] not in SEPARATORS and any(s[:n] in self.skeletons for n in self.lengths):
+                letters, end = 0, len(plain)
+                for m in _RUN.finditer(plain, i):
+                    letters += m[1] not in SEPARATORS
+                    if i and letters > self.longest:
+                        end = m.end()
+                        break
+                out.append(plain[i:end])
+        return out[::-1]
+
     def edged(self, token: str, plain: str) -> list[str]:
         """The token with look-alikes left at its edges, in every way that may hold a lexicon word."""
         runs = [(m.start(), m.end()) for m in _RUN.finditer(token)]
@@ -184,9 +202,8 @@ class Reader:
             plain = _EDGES.sub("", token)
             found = self._of(plain)
             if not plain.isalpha() or _REPEAT.search(plain):
-                s = skeleton(plain)
-                if any(s[:n] in self.skeletons for n in self.lengths):
-                    for word in self.restore(plain).split():
+                for part in self.begun(plain):
+                    for word in self.restore(part).split():
                         found += self._of(word)
             if len(plain) < len(token):
                 for part in self.edged(token, plain):

@@ -84,6 +84,20 @@ def reader(spark):
     return toxicity.Reader(dict.fromkeys(["idiot", "moron", "clown", "scum", "pathetic", "stupid", "loser", "trash"], 6.0), -4.0, source)
 
 
+@pytest.mark.parametrize("text", ["you-1d10t", "you-idiot", "dumb.1d10t", "x/m0r0n", "you,$cum", "what~a~l0ser", "a.b.c.d.e.i.d.i.o.t", "so_st-up1d", "-".join(["plain"] * 400 + ["1d10t"])])
+def test_words_behind_separators(reader, text):
+    assert reader.score(text) > 0.5
+
+
+def test_long_tokens_take_linear_time(reader):
+    import time
+
+    start = time.perf_counter()
+    reader.score(".".join(["1d10t"] * 3000))
+    reader.score(".-" * 50_000 + "1" * 50_000)
+    assert time.perf_counter() - start < 20
+
+
 @pytest.mark.parametrize("text", ["idiot", "1d10t", "id!ot", "m0r0n", "cl0wn", "$cum", "p4thet1c", "l0ser", "iddiiot", "i.d.i.o.t", "s t u p i d", "loooser", "tr@sh", "(idiot)", "what 5tup1d words", "y o u i d i o t"])
 def test_restored(reader, text):
     assert reader.score(text) > 0.3
