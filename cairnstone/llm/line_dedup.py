@@ -1,29 +1,36 @@
 """Line dedup by winnowing, in DataFrame expressions only.
 
 A document is its lines (split at newlines). In every run of `run` consecutive
-lines the least line hash is a fingerprint of the run (winnowing), so equal runs
-share one. Fingerprints seen at two places or more are joined back to their
-positions; from each position the match is extended both ways over all runs that
-the fingerprint stands for, and runs meet by (fingerprint, content) with their
-first place, by doc_id, then line. A line goes if a run that covers it has an
-earlier first place; overlapping runs merge into the maximal repeated stretch.
-Only minima are aggregated, so a run that a third of all documents share is a
-row for each document and never a pair.
+lines the least line hash is a fingerprint of the run (winnowing); neighbouring
+runs mostly share theirs, and a fingerprint is one row with the place of its line.
+Equal runs share a fingerprint, so only those that stand at two places or more go
+on: their positions are joined, and from each the match is extended both ways,
+over all runs around its line that the fingerprint stands for. Runs meet by
+(fingerprint, content) with their first place, by doc_id, then line. A line goes
+if a run that covers it has an earlier first place; overlapping runs merge into
+the maximal repeated stretch. Only minima are aggregated, so a run that a third of
+all documents share is a row for each document and never a pair; joins with
+fingerprints and first places are dealt over SALTS tasks for each key.
 
 A null text has no lines and stays null; an empty text is one empty line. Texts
 of fewer lines than `run` lose none. A null doc_id comes after all others. Rows
 with equal doc_id and text are one document: all keep the same lines. Empty
-tables give empty results. Other columns pass through unchanged; a column named
-n_lines or n_removed raises ValueError.
+tables give empty results. Texts of any length are read whole. Other columns pass
+through unchanged; a column named n_lines or n_removed, or like one of the
+operator's own, raises ValueError.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .shared import load, materialise
 
 RUN = 3
+#: Tasks that the rows of one fingerprint, or of one run, are dealt over.
+SALTS = 8
 
 
 def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
@@ -36,16 +43,27 @@ def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
     def describe(i: F.Column) -> F.Column:
         h = at("h", i)
         least = F.least(*h) if run > 1 else h[0]
-        return F.struct(i.cast("int").alias("at"), least.alias("print"), F.xxhash64(*h).alias("k1"), F.hash(*at("g", i)).alias("k2"))
-
-    runs = rows.select("doc_id", "version", F.explode(F.transform(F.sequence(F.lit(0), F.size("h") - F.lit(run)), describe)).alias("r")).select("doc_id", "version", "r.*")
-    runs = materialise(runs, "runs")
-    # Positions of each fingerprint: runs that share a place share its fingerprint, so distinct places are what counts.
-    place = F.struct(F.col("doc_id").isNull(), "doc_id", "version", "at")
-    seeds = runs.groupBy("print").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("print")
-    near = runs.join(seeds, "print", "left_semi")
-    first = near.groupBy("print", "k1", "k2").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("print", "k1", "k2", F.col("a").alias("first"))
-    return near.join(first, ["print", "k1", "k2"]).where(place > F.col("first")).select("doc_id", "version", "at")
+        where = reduce(lambda rest, k: F.when(h[k] == least, F.lit(k)).otherwise(rest), range(run - 2, -1, -1), F.lit(run - 1))
+        return F.struct(i.cast("int").alias("at"), (i + where).cast("int").alias("line"), least.alias("print"), F.xxhash64(*h).alias("k1"), F.hash(*at("g", i)).alias("k2"))
+
+    def around(r: F.Column) -> F.Column:
+        same = F.filter(F.slice("runs", r["at"] + 1, run), lambda x: x["line"] == r["line"])
+        return F.struct(r["print"].alias("print"), r["line"].alias("line"), F.transform(same, lambda x: F.struct(x["at"].alias("at"), x["k1"].alias("k1"), x["k2"].alias("k2"))).alias("around"))
+
+    runs = rows.select("doc_id", "version", F.transform(F.sequence(F.lit(0), F.size("h") - F.lit(run)), describe).alias("runs"))
+    # Runs of one fingerprint are neighbours; the first of them stands for all.
+    first_of = F.filter("runs", lambda r, j: (j == 0) | (F.get("runs", j - 1)["line"] != r["line"]))
+    prints = materialise(runs.select("doc_id", "version", F.inline(F.transform(first_of, around))), "prints")
+    salt = F.pmod(F.xxhash64("doc_id", "version"), F.lit(SALTS)).cast("int")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+
+    def place(line: str) -> F.Column:
+        return F.struct(F.col("doc_id").isNull(), "doc_id", "version", line)
+
+    seeds = prints.groupBy("print").agg(F.min(place("line")).alias("a"), F.max(place("line")).alias("b")).where("a < b").select("print", salts)
+    near = prints.withColumn("salt", salt).join(seeds, ["print", "salt"], "left_semi").select("doc_id", "version", "salt", "print", F.inline("around"))
+    first = near.groupBy("print", "k1", "k2").agg(F.min(place("at")).alias("a"), F.max(place("at")).alias("b")).where("a < b").select("print", "k1", "k2", F.col("a").alias("first"), salts)
+    return near.join(first, ["print", "k1", "k2", "salt"]).where(place("at") > F.col("first")).select("doc_id", "version", "at")
 
 
 def dedup_lines(docs: DataFrame, run: int = RUN, id: str = "doc_id", text: str = "text") -> DataFrame:
