@@ -9,7 +9,9 @@ p mod n_shards at slot p div n_shards, so that shard sizes differ by one at most
 Nulls are hashed and kept like any value, empty and very long texts are
 records like others, repeated rows are kept as often as they come, an empty
 table gives an empty result, and other columns travel unchanged (a column named
-like one of the operator's own raises ValueError).
+like one of the operator's own raises ValueError). Rows equal in all columns have
+one hash: those that come HOT_ROWS times and more are scattered by their place in
+the input instead, so that no bucket gathers them all.
 """
 
 from __future__ import annotations
@@ -22,8 +24,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .shared import BROADCAST_BYTES, load, materialise
 
 OWN = ("shard", "slot")
-#: Text bytes of a bucket, on average.
+#: Bytes of a bucket's records, on average.
 BUCKET_BYTES = 16 << 20
+#: A record that comes so often is scattered copy by copy.
+HOT_ROWS = 4096
 
 
 def record_bytes(text: str = "text") -> F.Column:
@@ -60,25 +64,36 @@ def _shuffle_bucket(seed: int):
     return run
 
 
-def scatter_and_shuffle(df: DataFrame, text: str, seed: int, bucket_bytes: int) -> DataFrame:
+def scatter_and_shuffle(df: DataFrame, seed: int, bucket_bytes: int) -> DataFrame:
     """Both passes. The written table has the records, _bucket and _at (position in the shuffled bucket)."""
-    total = df.agg(F.coalesce(F.sum(record_bytes(text)), F.lit(0))).first()[0]
+    record = F.xxhash64(F.lit(seed), *[df[f"`{c}`"].cast("string") for c in df.columns])
+    # All columns travel, so all of them count.
+    size = sum((F.coalesce(F.octet_length(df[f"`{c}`"].cast("string")), F.lit(0)).cast("long") + F.lit(8) for c in df.columns), F.lit(0))
+    total = df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     n = max(1, -(-int(total) // bucket_bytes))
     parts = max(1, min(n, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    record = F.xxhash64(F.lit(seed), *[df[f"`{c}`"].cast("string") for c in df.columns])
-    scattered = df.withColumn("_record", record).withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_record")), F.lit(n)).cast("long"))
+    records = df.withColumn("_record", record)
+    hot = materialise(records.groupBy("_record").count().where(F.col("count") >= HOT_ROWS).select(F.col("_record").alias("_hot")), "hot")
+    k = hot.count()
+    if k:
+        hot = F.broadcast(hot) if k * 64 <= BROADCAST_BYTES else hot
+        records = records.withColumn("_copy", F.monotonically_increasing_id()).join(hot, F.col("_record") == F.col("_hot"), "left")
+        copy = F.when(F.col("_hot").isNotNull(), F.col("_copy")).otherwise(F.lit(0))
+    else:
+        copy = F.lit(0)
+    scattered = records.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("_record"), copy), F.lit(n)).cast("long")).drop("_copy", "_hot")
     scattered = scattered.repartition(parts if n <= parts else n, "_bucket")
     schema = scattered.drop("_record").schema.add("_at", "long")
     return materialise(scattered.groupBy("_bucket").applyInArrow(_shuffle_bucket(seed), schema), "shuffled")
 
 
-def shard(df: DataFrame, n_shards: int = 24, text: str = "text", seed: int = 42, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def shard(df: DataFrame, n_shards: int = 24, seed: int = 42, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """The records of df with shard (int) and slot (long, gapless from 0 in each shard)."""
-    if clash := [c for c in df.columns if c.lower() in {*OWN, "_bucket", "_at", "_record"}]:
+    if clash := [c for c in df.columns if c.lower() in {*OWN, "_bucket", "_at", "_record", "_copy", "_hot"}]:
         raise ValueError(f"columns already there: {clash}")
-    shuffled = scatter_and_shuffle(df, text, seed, bucket_bytes)
+    shuffled = scatter_and_shuffle(df, seed, bucket_bytes)
     sizes = materialise(shuffled.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")), "buckets")
-    # One row for each bucket of bucket_bytes: a few thousand rows a TB.
+    # One row for each bucket of bucket_bytes: some 62 500 rows a TB.
     from pyspark.sql import Window
 
     before = F.sum("n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))

@@ -24,6 +24,32 @@ def test_the_shuffle_repeats_and_depends_on_its_seed(spark):
     assert abs(np.corrcoef(order, range(500))[0, 1]) < 0.2
 
 
+def test_repeated_rows_are_scattered(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "HOT_ROWS", 50)
+    df = spark.createDataFrame([(1, "the same row")] * 900 + [(i, f"text {i}") for i in range(100)] + [(None, None)] * 60, "doc_id long, text string")
+    parts = sharding.scatter_and_shuffle(df, 42, 1500)
+    held = {r["_bucket"]: r["count"] for r in parts.where("doc_id = 1").groupBy("_bucket").count().collect()}
+    assert sum(held.values()) == 901 and max(held.values()) < 150
+    out = sharding.shard(df, 7, bucket_bytes=1500).collect()
+    assert sorted(repr((r["doc_id"], r["text"])) for r in out) == sorted(repr(tuple(r)) for r in df.collect())
+    for k in range(7):
+        assert sorted(r["slot"] for r in out if r["shard"] == k) == list(range(sum(r["shard"] == k for r in out)))
+
+
+def brute_shards(rows, n_shards, seed):
+    """Both passes of one bucket, by hand: order by record hash, Fisher-Yates, dealt round."""
+    order = sharding.fisher_yates(len(rows), seed * 1_000_003)
+    ranked = [r for _, r in sorted(rows, key=lambda x: x[0])]
+    return {ranked[int(i)]: (p % n_shards, p // n_shards) for p, i in enumerate(order)}
+
+
+def test_shards_by_hand(spark):
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(200)], "doc_id long, text string")
+    hashed = df.select("doc_id", F.xxhash64(F.lit(42), F.col("doc_id").cast("string"), F.col("text")).alias("h")).collect()
+    want = brute_shards([(r["h"], r["doc_id"]) for r in hashed], 24, 42)
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.shard(df).collect()} == want
+
+
 def test_fisher_yates_reaches_every_order():
     assert len({tuple(sharding.fisher_yates(4, s)) for s in range(600)}) == 24
     assert sharding.fisher_yates(0, 1).tolist() == [] and sharding.fisher_yates(1, 1).tolist() == [0]
