@@ -44,9 +44,9 @@ BUCKET_BYTES = 4 << 20
 BUCKETS = 1 << 16
 #: Words encoded in one call, and ids decoded at once.
 CALL_WORDS = 1 << 12
-DECODE_BYTES = 2 << 20
+DECODE_BYTES = 1 << 20
 #: Numbers, or words of texts, handled at once.
-PART = 1 << 18
+PART = 1 << 17
 # White space of the tokenizer's pattern besides the blank.
 _SPACES = [*range(9, 14), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Kinds of characters.
@@ -317,8 +317,20 @@ def _parted(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return _unpacked(raw[4:cut]), _unpacked(raw[cut:])
 
 
-def _by_position(texts: pa.Table, encoded: pa.Table) -> pa.Table:
-    """A block's texts as ids."""
+_ENCODED = ["doc_id", "n_tokens", "ids"]
+
+
+def _by_position(asking: bool):
+    """A block's texts as ids; asking: with the rows that ask for the pieces of ids."""
+
+    def run(texts: pa.Table, encoded: pa.Table) -> pa.Table:
+        out = _positioned(texts, encoded)
+        return pa.Table.from_batches(_distinct_ids(_ENCODED)(iter(out.to_batches())), out.schema.append(pa.field("_id", pa.int32())).append(pa.field("_rest", pa.int32()))) if asking else out
+
+    return run
+
+
+def _positioned(texts: pa.Table, encoded: pa.Table) -> pa.Table:
     out = []
     encoded = encoded.sort_by("bucket")
     parts = [_parted(r) for r in encoded.column("encoded").to_pylist()]
@@ -343,12 +355,21 @@ def _by_position(texts: pa.Table, encoded: pa.Table) -> pa.Table:
             n_tokens += np.diff(cut).tolist()
             ids += [raw[4 * x : 4 * y] for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())]
             a = b
-        out.append(pa.table([pa.array(row["ids"], pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"]))
-    return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.binary())], ["doc_id", "n_tokens", "ids"])
+        out.append(pa.table([pa.array(row["ids"], pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(ids, pa.binary())], _ENCODED))
+    return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.binary())], _ENCODED)
 
 
 def encode(docs: DataFrame, path: str | None = None, id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, buckets: int | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids): ids as little-endian unsigned 32-bit integers."""
+    return _encode(docs, path, id, text, block_bytes, buckets, False)
+
+
+def encode_and_decode(docs: DataFrame, path: str | None = None, id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, buckets: int | None = None) -> DataFrame:
+    """As decode(encode(docs)), with a Python worker less in each task."""
+    return _with_pieces(_encode(docs, path, id, text, block_bytes, buckets, True), path)
+
+
+def _encode(docs: DataFrame, path: str | None, id: str, text: str, block_bytes: int, buckets: int | None, asking: bool) -> DataFrame:
     docs = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     spec = tokenizer_json(path)
     if buckets is None:
@@ -358,7 +379,7 @@ def encode(docs: DataFrame, path: str | None = None, id: str = "doc_id", text: s
     blocks = materialise_by(docs.mapInArrow(_blocks(_special(spec), buckets, block_bytes), _BLOCK), "blocks", "block")
     words = word_table(blocks, spec)
     texts = blocks.where("bucket is null").select("block", "ids", "n", "places", "buckets")
-    return texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_by_position, "doc_id long, n_tokens long, ids binary")
+    return texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_by_position(asking), "doc_id long, n_tokens long, ids binary" + ", _id int, _rest int" * asking)
 
 
 def word_table(blocks: DataFrame, spec: str) -> DataFrame:
@@ -437,21 +458,25 @@ def _decode(names: list[str]):
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """encoded with a column decoded, the text of its ids. An id without a piece stands for no bytes, as in the library."""
-    spark, vocabulary = encoded.sparkSession, pieces(tokenizer_json(path))
-    table = spark.createDataFrame(vocabulary, "_piece_id int, piece binary")
+    names, schema = encoded.columns, encoded.schema
+    return _with_pieces(encoded.mapInArrow(_distinct_ids(names), T.StructType([*schema.fields, T.StructField("_id", T.IntegerType()), T.StructField("_rest", T.IntegerType())])), path)
+
+
+def _with_pieces(asked: DataFrame, path: str | None) -> DataFrame:
+    """asked: rows, and rows that ask for the pieces of their ids."""
+    spark, vocabulary = asked.sparkSession, pieces(tokenizer_json(path))
     if sum(len(p) + 64 for _, p in vocabulary) > BROADCAST_BYTES:
         raise ValueError("the vocabulary is larger than a broadcast may be")
-    names, schema = encoded.columns, encoded.schema
-    asked = encoded.mapInArrow(_distinct_ids(names), T.StructType([*schema.fields, T.StructField("_id", T.IntegerType()), T.StructField("_rest", T.IntegerType())]))
+    table = spark.createDataFrame(vocabulary, "_piece_id int, piece binary")
     # A broadcast join keeps the order of the streamed rows; _decode raises if it doesn't.
     met = asked.join(F.broadcast(table), F.col("_id") == F.col("_piece_id"), "left").drop("_piece_id")
-    return met.mapInArrow(_decode(names), T.StructType([*schema.fields, T.StructField("decoded", T.StringType())]))
+    rows = asked.schema.fields[:-2]
+    return met.mapInArrow(_decode([f.name for f in rows]), T.StructType([*rows, T.StructField("decoded", T.StringType())]))
 
 
-def digest(encoded: DataFrame) -> DataFrame:
-    out = decode(encoded)
-    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+def digest(decoded: DataFrame) -> DataFrame:
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(encode(load(spark, sf_dir, "documents")))
+    return digest(encode_and_decode(load(spark, sf_dir, "documents")))

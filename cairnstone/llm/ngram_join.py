@@ -12,13 +12,14 @@ size filter prune further; exact set intersection decides.
 
 Equal sets are one node of the link graph, however many documents have them. In
 an inverted list each node meets the list's pivot, its smallest set. Nodes that
-this leaves in different components may still be linked with each other; in a
-list of a few they meet pairwise, in a longer one by what they have besides the
-pivot: two linked sets of which one isn't linked with the pivot share a token
-that only they or only the pivot has. These differences make new lists, which
-are short where the old ones were long, and so on; after LEVELS rounds whatever
-lists are left meet pairwise. A family of thousands of copies costs a few rows
-for each copy and not its square, and no link that matters is lost.
+this leaves in different components may still be linked with each other. Up to
+WIDE of them compare their sketches in blocks, and only pairs that these leave go
+on; a longer list meets by what its sets have besides the pivot: two linked sets
+of which one isn't linked with the pivot share a token that only they or only the
+pivot has. These differences make new lists, which are short where the old ones
+were long, and so on; lists that are still longer after LEVELS rounds are compared
+in blocks like the others. So a set is compared with a bounded number of others,
+the pairs that go on are few, and no link that matters is lost.
 
 Null and empty texts have an empty set and link with nothing; texts of any length
 are read whole, a slice of a batch at a time; repeated rows are separate rows with
@@ -45,9 +46,10 @@ FREQUENT = 32
 FREQUENT_ENTRIES = 1 << 20
 #: Tokens counted at once in a task.
 COUNT_TOKENS = 1 << 20
-#: Lists of so many sets meet pairwise; longer ones by differences, in so many rounds.
-SMALL = 24
-LEVELS = 2
+#: Lists of so many sets compare sketches, so many in a block; longer ones meet by differences, in so many rounds.
+WIDE = 8192
+BLOCK = 512
+LEVELS = 4
 #: Sets of more tokens than this have a second sketch, of two to four bits for each token.
 LONG = 1000
 #: Sets that a task remembers as sent; beyond that it may send one again.
@@ -166,6 +168,57 @@ def _close(percent: int):
     return run
 
 
+def _compared(percent: int):
+    """Pairs of one list and pair of blocks, of different components, that sizes and sketches leave. Rows come sorted by list and blocks."""
+    names = ["key", "low", "high", "block", "fp", "c", "n", "sk", *SKETCH]
+
+    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        n, c, fp, block = (t.column(x).to_numpy() for x in ("n", "c", "fp", "block"))
+        sketch = np.stack([t.column(x).to_numpy() for x in SKETCH], 1).view(np.uint64)
+        one = np.flatnonzero(block == t.column("low")[0].as_py())
+        other = one if t.column("low")[0] == t.column("high")[0] else np.flatnonzero(block == t.column("high")[0].as_py())
+        found = []
+        for i in range(0, len(one), 128):
+            a = one[i : i + 128]
+            x, y = n[a][:, None], n[other][None]
+            keep = (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (c[a][:, None] != c[other][None])
+            if other is one:
+                keep &= fp[a][:, None] < fp[other][None]
+            p, q = np.nonzero(keep)
+            p, q = a[p], other[q]
+            for j in range(0, len(p), 1 << 16):
+                u, v = p[j : j + (1 << 16)], q[j : j + (1 << 16)]
+                far = np.bitwise_count(sketch[u] ^ sketch[v]).sum(1, dtype=np.int64)
+                near = (100 + percent) * far <= (100 - percent) * (n[u] + n[v])
+                found.append((u[near], v[near]))
+        u, v = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        if len(u):
+            sk = t.column("sk").to_pylist()
+            keep = [sk[i] is None or sk[j] is None or (100 + percent) * sketch_distance(sk[i], sk[j]) <= (100 - percent) * int(n[i] + n[j]) for i, j in zip(u.tolist(), v.tolist())]
+            u, v = u[keep], v[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(fp[u], fp[v])), pa.array(np.maximum(fp[u], fp[v]))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            batch = batch.select(names)
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(x).to_numpy() for x in names[:3]], 1)
+            cut = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+            for a, b in zip(cut[:-1], cut[1:]):
+                part = batch.slice(a, b - a)
+                if held and any(held[0].column(x)[0] != part.column(x)[0] for x in names[:3]):
+                    yield from pairs(pa.Table.from_batches(held))
+                    held = []
+                held.append(part)
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
+        K.release()
+
+    return run
+
+
 def _nodes(k: int, lower: bool):
     names = ["doc_id", "version", "fp", "n", "sk", *SKETCH]
 
@@ -370,13 +423,15 @@ def _jaccard(docs: DataFrame, k: int, percent: int, lower: bool) -> DataFrame:
         rows = materialise(rows.join(apart, "key"), "apart")
         if rows.isEmpty():
             break
-        small = rows if level == LEVELS else rows.where(F.col("size") <= SMALL)
-        full_rows = small.join(sets.select("fp", "n", *SKETCH), "fp")
-        x, y = full_rows.alias("x"), full_rows.alias("y")
-        met = (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & (F.col("x.c") != F.col("y.c"))
-        near = x.join(y, met & _may_link(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"), percent))
-        pairs = close(near.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct(), "pairs")
-        large = rows.where(F.col("size") > SMALL)
+        listed = rows if level == LEVELS else rows.where(F.col("size") <= WIDE)
+        blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+        other = F.explode(F.sequence(F.lit(0), blocks - 1))
+        listed = listed.withColumn("block", F.pmod(F.xxhash64("fp"), blocks).cast("int")).withColumn("other", other)
+        listed = listed.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "fp", "c")
+        # Sketches join before the rows are dealt by list, so that they are moved once for each row.
+        listed = listed.join(sets.select("fp", "n", "sk", *SKETCH), "fp").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+        pairs = materialise(listed.select("key", "low", "high", "block", "fp", "c", "n", "sk", *SKETCH).mapInArrow(_compared(percent), "a long, b long").distinct(), "pairs")
+        large = rows.where(F.col("size") > WIDE)
         deep = level < LEVELS and not large.isEmpty()
         if deep and not by_group:
             # A long list of differences: its pivot meets all, and their differences go on.

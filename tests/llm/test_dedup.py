@@ -143,7 +143,7 @@ def test_long_lists_meet_by_differences(spark, monkeypatch):
     for family in range(4):
         base = words(family, (60, 60, 200, 25)[family], 10_000)
         tail = words(70 + family, 9, 10_000)
-        for i in range(70):
+        for i in range(40):
             w = list(base)
             for _ in range(r.choice([1, 2, 3, 4])):
                 w[r.randrange(len(w))] = f"z{r.randrange(10**6)}"
@@ -154,10 +154,21 @@ def test_long_lists_meet_by_differences(spark, monkeypatch):
                 w += tail[: i % 9]
             rows.append((1000 * family + i, " ".join(w)))
     docs = documents(spark, rows)
-    for small, levels, p in ((2, 1, 90), (4, 5, 70)):
-        monkeypatch.setattr(ngram_join, "SMALL", small)
+    for wide, block, levels, p in ((2, 5, 1, 90), (4, 16, 3, 70)):
+        monkeypatch.setattr(ngram_join, "WIDE", wide)
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
         monkeypatch.setattr(ngram_join, "LEVELS", levels)
-        assert sorted(map(tuple, ngram_join.jaccard_components(docs, 3, p).collect())) == sorted(components(rows, 3, p)), (small, levels, p)
+        assert sorted(map(tuple, ngram_join.jaccard_components(docs, 3, p).collect())) == sorted(components(rows, 3, p)), (wide, block, levels, p)
+
+
+def test_sketches_never_exceed_the_difference():
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    for n, m, both in ((1001, 1001, 900), (1200, 2100, 1100), (5000, 4600, 4500), (3000, 3000, 3000)):
+        x = r.integers(0, 1 << 63, n + m - both, dtype=np.uint64)
+        a, b = ngram_join.long_sketch(x[:n]), ngram_join.long_sketch(x[n - both :])
+        assert ngram_join.sketch_distance(a, b) == ngram_join.sketch_distance(b, a) <= n + m - 2 * both
 
 
 def test_filters_and_joins_find_the_same_sets(spark, edge, edge_rows, monkeypatch):

@@ -84,7 +84,7 @@ def tokenizer():
 
 
 def check(df, texts, tokenizer, **options):
-    got = {r["doc_id"]: r for r in bpe.decode(bpe.encode(df, **options)).collect()}
+    got = {r["doc_id"]: r for r in bpe.encode_and_decode(df, **options).collect()}
     for i, t in texts.items():
         ids = tokenizer.encode(t or "", add_special_tokens=False).ids
         assert bytes(got[i]["ids"]) == np.array(ids, "<u4").tobytes() and got[i]["n_tokens"] == len(ids)
@@ -148,6 +148,12 @@ def test_a_word_of_many_blocks_has_one_bucket(spark):
     assert len(found) == len(set(found)) > 50
 
 
+def test_decoding_of_encoded_rows(spark, edge, edge_rows):
+    both = edge.where("doc_id is not null and doc_id <> 44")
+    apart = bpe.decode(bpe.encode(both)).select("doc_id", "ids", "decoded").collect()
+    assert sorted(map(tuple, apart)) == sorted(map(tuple, bpe.encode_and_decode(both).select("doc_id", "ids", "decoded").collect()))
+
+
 def test_broken_ids_decode_with_replacement(spark):
     raw = spark.createDataFrame([(1, 1, bytearray(np.array([160], "<u4").tobytes()))], "doc_id long, n_tokens long, ids binary")
     assert "�" in bpe.decode(raw).first()["decoded"]
@@ -155,5 +161,5 @@ def test_broken_ids_decode_with_replacement(spark):
 
 def test_bpe_of_nothing(spark, empty):
     assert bpe.encode(empty).count() == 0
-    d = bpe.digest(bpe.encode(spark.createDataFrame([(1, None)], "doc_id long, text string"))).first()
+    d = bpe.digest(bpe.encode_and_decode(spark.createDataFrame([(1, None)], "doc_id long, text string"))).first()
     assert d["n_tokens"] == 0 and d["ids_sha256"] == d["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
