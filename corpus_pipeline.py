@@ -44,7 +44,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document left."""
     ship(spark)
-    return bpe.digest(bpe.encode(docs))
+    return bpe.digest(bpe.encode_and_decode(docs))
 
 
 STAGES = [
