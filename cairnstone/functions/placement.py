@@ -66,51 +66,105 @@ def best_of(bids: DataFrame, n: int) -> DataFrame:
     return bids.withColumn("in_rack", in_rack).withColumn("place", place).where(F.col("place") <= n).select("block", "place", "node", "rack")
 
 
+def _listed(nodes: DataFrame) -> list[tuple] | None:
+    """The rows of nodes (the first column is the node) in the order of nodes; None if they are more than MOST_NODES."""
+    rows = nodes.limit(MOST_NODES + 1).collect()
+    return sorted(map(tuple, rows), key=lambda r: r[0].encode()) if len(rows) <= MOST_NODES else None
+
+
+def _chosen(s: np.ndarray, racks: list[np.ndarray], n: int) -> np.ndarray:
+    """Of scores by block and node, each block's n best nodes: the best of each rack before any second of a rack."""
+    best = np.stack([r[s[:, r].argmax(1)] for r in racks], 1)
+    if len(racks) >= n:
+        return np.take_along_axis(best, np.lexsort((best, -np.take_along_axis(s, best, 1))), 1)[:, :n]
+    later = np.ones(s.shape, bool)
+    np.put_along_axis(later, best, False, 1)
+    # Stable, so equal scores stay in the order of nodes.
+    return np.lexsort((-s, later))[:, :n]
+
+
+def _racks(rack: np.ndarray) -> list[np.ndarray]:
+    return [np.flatnonzero(rack == r) for r in dict.fromkeys(rack.tolist())]
+
+
+def _parts(batches: Iterator[pa.RecordBatch], nodes: int) -> Iterator[np.ndarray]:
+    """Block numbers, as many at once as _SCORES allows."""
+    for batch in batches:
+        block, most = batch.column("block").to_numpy(), max(1, _SCORES // max(1, nodes))
+        yield from (block[i : i + most] for i in range(0, len(block), most))
+
+
+def _placed(nodes, score, n: int):
+    """score(blocks, *columns): the bids of all nodes for each block. nodes: broadcast columns node, rack and score's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, rack = (np.array(c, object) for c in nodes.value[:2])
+        racks, rest = _racks(rack), [np.array(c) for c in nodes.value[2:]]
+        for part in _parts(batches, len(node)):
+            top = _chosen(score(part, *rest), racks, n)
+            place = np.tile(np.arange(1, top.shape[1] + 1, dtype=np.int32), len(part))
+            columns = [np.repeat(part, top.shape[1]), place, node[top.ravel()], rack[top.ravel()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.string()))], ["block", "place", "node", "rack"])
+
+    return run
+
+
+def score32(block: np.ndarray, num: np.ndarray) -> np.ndarray:
+    def mix(x: np.ndarray) -> np.ndarray:
+        x = x ^ (x >> np.uint32(16))
+        x = x * np.uint32(MIX32[0])
+        x = x ^ (x >> np.uint32(15))
+        x = x * np.uint32(MIX32[1])
+        return x ^ (x >> np.uint32(16))
+
+    seed = mix(num.astype(np.uint32) * np.uint32(SEED))
+    return mix(block.astype(np.uint32)[:, None] ^ seed[None]).astype(np.int64)
+
+
+def _score64(block: np.ndarray, seed: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    return weighted_score(block[:, None], seed.astype(np.int64)[None], weight.astype(np.float64)[None])
+
+
+_PLACED = "block long, place int, node string, rack string"
+
+
 def rendezvous32(blocks: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     """blocks: block (below 2**32). nodes: node, num, rack.
 
-    The node list is one array beside each block, so a block's ranking needs no shuffle: placement is a projection.
-    A list of more than MOST_NODES, too long for that, is ranked in groups instead."""
-    seed = mix32(times32(F.col("num").cast("long").bitwiseAND(F.lit(_LOW)), SEED))
-    offers = nodes.select("node", "rack", seed.alias("seed"))
-    if offers.limit(MOST_NODES + 1).count() > MOST_NODES:
-        bids = blocks.crossJoin(offers).select("block", "node", "rack", mix32(F.col("block").bitwiseXOR(F.col("seed"))).alias("score"))
-        return best_of(bids, n)
-    listed = offers.agg(F.collect_list(F.struct("node", "rack", "seed")).alias("offers"))
-    bids = F.transform("offers", lambda o: F.struct((-mix32(F.col("block").bitwiseXOR(o["seed"]))).alias("bid"), o["node"].alias("node"), o["rack"].alias("rack")))
-    ranked = blocks.crossJoin(F.broadcast(listed)).select("block", F.inline(F.array(F.struct(F.array_sort(bids).alias("ranked")))))
-    none = F.slice("ranked", 1, 0)
+    Up to MOST_NODES nodes are broadcast and ranked for each block where it is, a matrix of scores at a time; more
+    are ranked in groups."""
+    nodes = nodes.select("node", "rack", F.col("num").cast("long").bitwiseAND(F.lit(_LOW)).alias("num"))
+    listed = _listed(nodes)
+    if listed is None:
+        offers = nodes.select("node", "rack", mix32(times32(F.col("num"), SEED)).alias("seed"))
+        return best_of(blocks.crossJoin(offers).select("block", "node", "rack", mix32(F.col("block").bitwiseXOR(F.col("seed"))).alias("score")), n)
+    if not listed:
+        return blocks.sparkSession.createDataFrame([], _PLACED)
+    given = blocks.sparkSession.sparkContext.broadcast(tuple(zip(*listed)))
+    return blocks.select(F.col("block").cast("long")).mapInArrow(_placed(given, score32, n), _PLACED)
 
-    def take(chosen: Column, by: str) -> Column:
-        """Goes down the ranking and takes what has a new `by`, up to n."""
-        fits = lambda got, x: (F.size(got) < n) & ~F.exists(got, lambda g: g[by] == x[by])
-        return F.aggregate("ranked", chosen, lambda got, x: F.when(fits(got, x), F.array_append(got, x)).otherwise(got))
 
-    best = ranked.select("block", F.posexplode(take(take(none, "rack"), "node")).alias("at", "x"))
-    return best.select("block", (F.col("at") + 1).alias("place"), "x.node", "x.rack")
+def disruption32(blocks: DataFrame, nodes: DataFrame, gone: str, n: int) -> DataFrame:
+    """(blocks, moved): how many blocks there are, and of how many the n nodes change when the node `gone` leaves.
 
+    Both placements come from one matrix of scores; nothing is shuffled but a row for each batch. Nodes: up to MOST_NODES."""
+    listed = _listed(nodes.select("node", "rack", F.col("num").cast("long").bitwiseAND(F.lit(_LOW)).alias("num")))
+    if listed is None:
+        raise ValueError(f"more than {MOST_NODES} nodes")
+    given = blocks.sparkSession.sparkContext.broadcast(listed)
 
-def _weighted(nodes, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, rack, seed, weight = (np.array(c, t) for c, t in zip(nodes.value, (object, object, np.int64, np.float64)))
-        racks = [np.flatnonzero(rack == r) for r in dict.fromkeys(rack.tolist())]
-        for batch in batches:
-            block, most = batch.column("block").to_numpy(), max(1, _SCORES // len(node))
-            for part in (block[i : i + most] for i in range(0, len(block), most)):
-                s = weighted_score(part[:, None], seed[None], weight[None])
-                best = np.stack([r[s[:, r].argmax(1)] for r in racks], 1)
-                if len(racks) >= n:
-                    top = np.take_along_axis(best, np.lexsort((best, -np.take_along_axis(s, best, 1))), 1)[:, :n]
-                else:
-                    later = np.ones(s.shape, bool)
-                    np.put_along_axis(later, best, False, 1)
-                    # Stable, so equal scores stay in the order of nodes.
-                    top = np.lexsort((-s, later))[:, :n]
-                place = np.tile(np.arange(1, top.shape[1] + 1, dtype=np.int32), len(part))
-                columns = [np.repeat(part, top.shape[1]), place, node[top.ravel()], rack[top.ravel()]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.string()))], ["block", "place", "node", "rack"])
+        node, rack, num = (np.array(c, t) for c, t in zip(zip(*given.value), (object, object, np.int64)))
+        stays = np.flatnonzero(node != gone)
+        for part in _parts(batches, len(node)):
+            s = score32(part, num)
+            before = np.sort(_chosen(s, _racks(rack), n), 1)
+            after = np.sort(stays[_chosen(s[:, stays], _racks(rack[stays]), n)], 1)
+            moved = (before != after).any(1).sum() if before.shape == after.shape else len(part)
+            yield pa.RecordBatch.from_arrays([pa.array([len(part)], pa.int64()), pa.array([moved], pa.int64())], ["blocks", "moved"])
 
-    return run
+    found = blocks.select(F.col("block").cast("long")).mapInArrow(run, "blocks long, moved long")
+    return found.agg(F.coalesce(F.sum("blocks"), F.lit(0)).alias("blocks"), F.coalesce(F.sum("moved"), F.lit(0)).alias("moved"))
 
 
 def rendezvous64(blocks: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
@@ -118,13 +172,14 @@ def rendezvous64(blocks: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
 
     Up to MOST_NODES of them are broadcast and ranked for each block where it is; more are ranked in groups."""
     nodes = nodes.select("node", "rack", F.col("seed").cast("long"), F.col("weight").cast("double"))
-    listed = nodes.limit(MOST_NODES + 1).collect()
-    if 0 < len(listed) <= MOST_NODES:
-        columns = tuple(zip(*sorted(map(tuple, listed), key=lambda r: r[0].encode())))
-        given = blocks.sparkSession.sparkContext.broadcast(columns)
-        return blocks.select(F.col("block").cast("long")).mapInArrow(_weighted(given, n), "block long, place int, node string, rack string")
-    pairs = blocks.crossJoin(F.broadcast(nodes) if not listed else nodes)
-    return best_of(pairs.mapInArrow(_bids, "block long, node string, rack string, score double"), n)
+    listed = _listed(nodes)
+    if listed is None:
+        pairs = blocks.crossJoin(nodes)
+        return best_of(pairs.mapInArrow(_bids, "block long, node string, rack string, score double"), n)
+    if not listed:
+        return blocks.sparkSession.createDataFrame([], _PLACED)
+    given = blocks.sparkSession.sparkContext.broadcast(tuple(zip(*listed)))
+    return blocks.select(F.col("block").cast("long")).mapInArrow(_placed(given, _score64, n), _PLACED)
 
 
 def modulo(workers: list[tuple[str, str]], block: int, replicas: int = 3) -> list[str]:

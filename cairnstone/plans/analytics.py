@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from ..sources.tables import CLUSTER, FILES, FRAGMENTS, PARTITIONS, TASKS, sql_query
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import ordering
+from ..registry import query
+from ..sources.tables import CLUSTER, FILES, FRAGMENTS, PARTITIONS, TASKS, run_sql, sql_query, table
+from . import placed
 
 #: Rows by rank: order statistics are exact elements, never interpolated.
 _RANKED = f"{PARTITIONS}, ranked AS (SELECT *, row_number() OVER (ORDER BY size, pid) - 1 AS rk, count(*) OVER () AS n FROM parts)"
@@ -31,21 +36,40 @@ sql_query("cluster_totals", f"""WITH {CLUSTER}
 SELECT round(sum(used), 2) AS used, round(sum(capacity), 2) AS capacity, round(sum(CASE WHEN state <> 'dead' THEN capacity ELSE 0e0 END), 2) AS live_capacity,
        round(sum(read_bps), 2) AS read_bps, round(sum(write_bps), 2) AS write_bps, count(DISTINCT rack) AS racks FROM nodes""")
 
-_HEALTH = f"""{FRAGMENTS}, copies AS (SELECT block, count(*) AS target, count(CASE WHEN state = 'ok' THEN 1 END) AS left_ok FROM frags GROUP BY block),
-classes AS (SELECT block, target, left_ok, CASE WHEN left_ok = 0 THEN 'missing' WHEN left_ok = target THEN CASE WHEN target > 6 THEN 'over' ELSE 'healthy' END
-       WHEN left_ok = 1 THEN 'critical' ELSE 'under' END AS health FROM copies)"""
-sql_query("health_histogram", f"WITH {_HEALTH} SELECT health, count(*) AS n FROM classes GROUP BY health")
-sql_query("cluster_summary", f"""WITH {CLUSTER}, {_HEALTH},
-h AS (SELECT count(*) AS total_blocks, count(CASE WHEN health IN ('critical', 'missing') THEN 1 END) AS at_risk, count(CASE WHEN health = 'under' THEN 1 END) AS under FROM classes),
-n AS (SELECT count(*) AS total, count(CASE WHEN state IN ('healthy', 'warn') THEN 1 END) AS healthy_nodes, count(CASE WHEN state = 'dead' THEN 1 END) AS dead_nodes FROM nodes)
-SELECT total_blocks, at_risk, healthy_nodes, dead_nodes, total = 0 OR at_risk > 0 OR healthy_nodes < total OR under > 0 AS needs_attention FROM h, n""")
-_PRIORITY = "CASE state WHEN 'dead' THEN 4 WHEN 'warn' THEN 3 WHEN 'decommissioning' THEN 2 WHEN 'maintenance' THEN 1 ELSE 0 END"
-sql_query("priority_nodes", f"WITH {CLUSTER} SELECT id, state, {_PRIORITY} AS priority, round(used / capacity, 6) AS pct FROM nodes ORDER BY {_PRIORITY} DESC, used / capacity DESC, id LIMIT 6")
-sql_query("alerts_ranked", f"""WITH {CLUSTER}, alerts AS (
+#: Copies of blocks: of a target of three to five, those that are there; a fragment on a node of number 9 fails its checksum.
+_HEALTH = f"""{FRAGMENTS}, copies AS (
+  SELECT block, 3 + block % 3 AS target, count(CASE WHEN state = 'ok' THEN 1 END) AS left_ok, count(CASE WHEN state = 'ok' AND node LIKE '%9' AND idx = 2 THEN 1 END) AS bad FROM frags GROUP BY block),
+classes AS (SELECT block, target, left_ok, CASE WHEN left_ok = 0 THEN 'missing' WHEN bad > 0 THEN 'corrupt' WHEN left_ok = 1 THEN 'critical' WHEN left_ok < target THEN 'under_replicated'
+       WHEN left_ok > target THEN 'over_replicated' ELSE 'healthy' END AS health FROM copies)"""
+_LINES = "SELECT l_orderkey AS b, 3 + l_orderkey % 3 AS want, sum(CASE l_returnflag WHEN 'R' THEN 0 ELSE 1 END) AS have, bool_or(l_returnflag <> 'R' AND l_suppkey % 10 = 9 AND l_linenumber = 2) AS broken FROM lineitem GROUP BY ALL"
+_CLASSES = f"""SELECT 'missing' AS health, count(*) FILTER (have = 0) AS n FROM ({_LINES}) UNION ALL SELECT 'corrupt', count(*) FILTER (have > 0 AND broken) FROM ({_LINES})
+UNION ALL SELECT 'critical', count(*) FILTER (have = 1 AND NOT broken) FROM ({_LINES}) UNION ALL SELECT 'under_replicated', count(*) FILTER (have > 1 AND have < want AND NOT broken) FROM ({_LINES})
+UNION ALL SELECT 'over_replicated', count(*) FILTER (have > want AND NOT broken) FROM ({_LINES}) UNION ALL SELECT 'healthy', count(*) FILTER (have = want AND have > 1 AND NOT broken) FROM ({_LINES})"""
+sql_query("health_histogram", f"WITH {_HEALTH} SELECT health, count(*) AS n FROM classes GROUP BY health", f"SELECT * FROM ({_CLASSES}) WHERE n > 0")
+sql_query("fsck_counts", f"""WITH {_HEALTH} SELECT count(*) AS checked, count(CASE WHEN health IN ('healthy', 'over_replicated') THEN 1 END) AS healthy,
+count(CASE WHEN health IN ('under_replicated', 'critical') THEN 1 END) AS degraded, count(CASE WHEN health = 'corrupt' THEN 1 END) AS corrupt, count(CASE WHEN health = 'missing' THEN 1 END) AS lost FROM classes""",
+f"""SELECT count(*) AS checked, count(*) FILTER (have >= want AND have > 1 AND NOT broken) AS healthy, count(*) FILTER (have > 0 AND (have < want OR have = 1) AND NOT broken) AS degraded,
+count(*) FILTER (broken AND have > 0) AS corrupt, count(*) FILTER (have = 0) AS lost FROM ({_LINES})""")
+_ALERTS = """alerts AS (
   SELECT id, 'danger' AS level, 2 AS rk, 'node is dead' AS message FROM nodes WHERE state = 'dead'
   UNION ALL SELECT id, 'warn', 1, 'over 90 percent full' FROM nodes WHERE used / capacity > 0.9e0
   UNION ALL SELECT id, 'warn', 1, 'slow disks' FROM nodes WHERE p99 >= 12
-  UNION ALL SELECT id, 'info', 0, 'nearly empty' FROM nodes WHERE used / capacity < 0.05e0)
+  UNION ALL SELECT id, 'info', 0, 'nearly empty' FROM nodes WHERE used / capacity < 0.05e0)"""
+#: Safe mode: fewer than 999 in 1000 blocks have a copy.
+sql_query("cluster_summary", f"""WITH {CLUSTER}, {_HEALTH}, {_ALERTS},
+h AS (SELECT count(*) AS total_blocks, count(CASE WHEN health IN ('critical', 'corrupt', 'missing') THEN 1 END) AS at_risk, count(CASE WHEN health = 'under_replicated' THEN 1 END) AS under,
+      count(CASE WHEN health = 'missing' THEN 1 END) * 1000 > count(*) AS safe_mode FROM classes),
+n AS (SELECT count(*) AS total, count(CASE WHEN state = 'healthy' THEN 1 END) AS healthy_nodes, count(CASE WHEN state = 'dead' THEN 1 END) AS dead_nodes FROM nodes),
+a AS (SELECT count(CASE WHEN level <> 'info' THEN 1 END) AS loud FROM alerts)
+SELECT total_blocks, at_risk, healthy_nodes, dead_nodes, safe_mode, safe_mode OR total = 0 OR at_risk > 0 OR healthy_nodes < total OR under > 0 OR loud > 0 AS needs_attention FROM h, n, a""",
+f"""WITH c AS (SELECT sum(n) AS total, coalesce(sum(n) FILTER (health IN ('critical', 'corrupt', 'missing')), 0) AS risk, coalesce(sum(n) FILTER (health = 'under_replicated'), 0) AS under, coalesce(sum(n) FILTER (health = 'missing'), 0) AS lost FROM ({_CLASSES})),
+s AS (SELECT count(*) AS k, count(*) FILTER (s_suppkey % 20 <> 0 AND s_suppkey % 11 <> 0 AND s_suppkey % 17 <> 0 AND s_suppkey % 19 <> 0) AS up, count(*) FILTER (s_suppkey % 20 = 0) AS down,
+      count(*) FILTER (s_suppkey % 20 = 0 OR greatest(s_acctbal, 0) > 0.9 * (10000 + 500 * (s_suppkey % 7)) OR s_suppkey % 13 >= 12) AS loud FROM supplier)
+SELECT CAST(total AS BIGINT) AS total_blocks, CAST(risk AS BIGINT) AS at_risk, up AS healthy_nodes, down AS dead_nodes, lost * 1000 > total AS safe_mode,
+lost * 1000 > total OR k = 0 OR risk > 0 OR up < k OR under > 0 OR loud > 0 AS needs_attention FROM c, s""")
+_PRIORITY = "CASE state WHEN 'dead' THEN 4 WHEN 'warn' THEN 3 WHEN 'decommissioning' THEN 2 WHEN 'maintenance' THEN 1 ELSE 0 END"
+sql_query("priority_nodes", f"WITH {CLUSTER} SELECT id, state, {_PRIORITY} AS priority, round(used / capacity, 6) AS pct FROM nodes ORDER BY {_PRIORITY} DESC, used / capacity DESC, id LIMIT 6")
+sql_query("alerts_ranked", f"""WITH {CLUSTER}, {_ALERTS}
 SELECT id, level, message, CAST(row_number() OVER (ORDER BY rk DESC, id, message) AS BIGINT) AS place FROM alerts""")
 sql_query("node_search", f"WITH {CLUSTER} SELECT id, rack, address, state FROM nodes WHERE contains(lower(id), 'w1') OR contains(lower(rack), 'asia') OR contains(lower(address), '.7.') OR contains(state, 'warn')")
 sql_query("node_list_filter", f"WITH {CLUSTER} SELECT id, rack, state FROM nodes WHERE rack = 'ASIA' AND state <> 'dead'")
@@ -70,14 +94,18 @@ sql_query("treemap_weighted_age", f"WITH {FILES} SELECT d1, d2, CAST(round(sum(a
 sql_query("treemap_depth_cut", f"WITH {FILES} SELECT d1, CAST(sum(len) AS BIGINT) AS size FROM files GROUP BY d1")
 sql_query("ls_dirs_first", f"""WITH {FILES}, entries AS (
   SELECT DISTINCT d3 AS name, true AS is_dir FROM files WHERE d1 = 'asia' UNION ALL SELECT name, false FROM files WHERE d1 = 'asia')
-SELECT name, is_dir, CAST(row_number() OVER (ORDER BY CASE WHEN is_dir THEN 0 ELSE 1 END, name) AS BIGINT) AS place FROM entries ORDER BY CASE WHEN is_dir THEN 0 ELSE 1 END, name LIMIT 200""")
+SELECT name, is_dir, CAST(row_number() OVER (ORDER BY CASE WHEN is_dir THEN 0 ELSE 1 END, name) AS BIGINT) AS place
+FROM (SELECT name, is_dir FROM entries ORDER BY CASE WHEN is_dir THEN 0 ELSE 1 END, name LIMIT 200) shown""")
 sql_query("find_files", f"WITH {FILES} SELECT path, len, age_days, policy FROM files WHERE name LIKE 'c1%' AND len > 2000 AND age_days > 30 AND age_days < 150 AND policy = 'replication-3' AND degraded = 1 ORDER BY path LIMIT 100")
 sql_query("stat_file", f"WITH {FILES} SELECT path, len, CASE WHEN policy = 'inline' THEN 0 ELSE greatest(1, CAST(ceil(len / 1024e0) AS BIGINT)) END AS blocks, CASE WHEN len % 1024 = 0 THEN 1024 ELSE len % 1024 END AS last_len FROM files")
 _FACTOR = "CASE WHEN policy LIKE 'replication-%' THEN CAST(substr(policy, 13) AS DOUBLE) WHEN policy = 'lrc-6-2-2' THEN 10e0 / 6 WHEN policy = 'rs-6-3' THEN 9e0 / 6 ELSE 1e0 END"
 sql_query("du_policy", f"""WITH {FILES}, d AS (SELECT d1, sum(len) AS logical, sum(len * {_FACTOR}) AS disk FROM files GROUP BY d1)
 SELECT concat('/', d1) AS path, CAST(logical AS BIGINT) AS logical, round(disk, 2) AS on_disk, round(100 * disk / sum(disk) OVER (), 4) AS pct FROM d""")
 sql_query("rm_older_than", f"WITH {FILES} SELECT count(*) AS n_files, CAST(sum(len) AS BIGINT) AS size, max(age_days) AS oldest FROM files WHERE age_days > 90")
-sql_query("path_predicate", "SELECT page_id, url, regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS path, length(regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1)) > 1 AND NOT contains(concat(regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1), '/'), '//') AS valid FROM pages")
+#: Paths of pages, some of them made odd: absolute, and no segment empty, one dot or two.
+_PATHS = "SELECT page_id, concat(CASE page_id % 7 WHEN 0 THEN '' WHEN 1 THEN '/.' WHEN 2 THEN '/a/..' WHEN 3 THEN '/' ELSE '/ok' END, regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1)) AS path FROM pages"
+sql_query("path_predicate", f"SELECT page_id, path, path RLIKE '^(/(?!\\\\.{{1,2}}(/|$))[^/]+)+$' AS valid FROM ({_PATHS}) p",
+          f"SELECT page_id, path, starts_with(path, '/') AND len(list_filter(string_split(path[2:], '/'), lambda s: s IN ('', '.', '..'))) = 0 AS valid FROM ({_PATHS})")
 sql_query("migrate_globs", f"WITH {FILES} SELECT path FROM files WHERE path LIKE '/asia/%' AND NOT path LIKE '%/building/%'")
 sql_query("migration_plan", f"WITH {FILES} SELECT d1, count(*) AS n_files, CAST(sum(len) AS BIGINT) AS size, count(CASE WHEN len < 2000 THEN 1 END) AS small_files, max(len) AS largest FROM files GROUP BY d1")
 sql_query("namespace_wide", f"WITH {FILES} SELECT policy, count(*) AS n_files, CAST(sum(len) AS BIGINT) AS size, round(avg(len), 4) AS mean_len FROM files GROUP BY policy")
@@ -120,12 +148,43 @@ t AS (SELECT t_s FROM (SELECT 0e0 AS t_s UNION ALL SELECT 600e0 UNION ALL SELECT
 q AS (SELECT t_s, d, rate, n, greatest(0e0, d - rate * greatest(0e0, t_s - 600)) AS queued FROM h, r, t)
 SELECT t_s, round(rate, 4) AS rate, round(queued, 2) AS queued, round(queued / rate, 4) AS eta_s, round(CASE WHEN d = 0 THEN 0e0 ELSE (d - queued) / d END, 6) AS progress, greatest(0e0, 600 - t_s) AS grace_s, round(least(queued, 64e0 * n), 2) AS in_flight FROM q""")
 sql_query("exposure_share", f"WITH {FRAGMENTS}, t AS (SELECT count(DISTINCT block) AS blocks FROM frags) SELECT node, count(DISTINCT block) AS n, round(count(DISTINCT block) * 1e0 / max(blocks), 8) AS share FROM frags, t GROUP BY node")
-sql_query("repair_priority", f"WITH {_HEALTH} SELECT block, left_ok, target, CAST(row_number() OVER (ORDER BY left_ok, block) AS BIGINT) AS place FROM classes WHERE left_ok < target ORDER BY left_ok, block LIMIT 500")
-sql_query("merkle_buckets", f"WITH {FRAGMENTS} SELECT block % 64 AS bucket, md5(concat_ws(',', transform(array_sort(collect_set(block)), x -> CAST(x AS STRING)))) AS digest, count(DISTINCT block) AS n FROM frags GROUP BY block % 64",
-          f"WITH {FRAGMENTS} SELECT block % 64 AS bucket, md5(string_agg(DISTINCT CAST(block AS VARCHAR), ',' ORDER BY block)) AS digest, count(DISTINCT block) AS n FROM frags GROUP BY block % 64".replace("string_agg(DISTINCT CAST(block AS VARCHAR), ',' ORDER BY block)", "array_to_string(list_sort(list_distinct(list(block))), ',')"))
-sql_query("expectation_diff", f"""WITH {FRAGMENTS}, expected AS (SELECT o_orderkey AS block, concat('w', 1 + o_orderkey % 10) AS node FROM orders), actual AS (SELECT DISTINCT block, node FROM frags)
-SELECT coalesce(e.block, a.block) AS block, coalesce(e.node, a.node) AS node, CASE WHEN a.node IS NULL THEN 'absent' ELSE 'unexpected' END AS what
-FROM expected e FULL OUTER JOIN actual a ON e.block = a.block AND e.node = a.node WHERE a.node IS NULL OR e.node IS NULL""")
+
+
+@query("repair_priority", """WITH f AS (SELECT l_orderkey AS block, count(*) FILTER (l_returnflag <> 'R') AS left_ok FROM lineitem GROUP BY l_orderkey)
+SELECT block, left_ok, 3 + block % 3 AS target, row_number() OVER (ORDER BY left_ok, block) AS place FROM f WHERE left_ok < 3 + block % 3""")
+def repair_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repair queue: every block below its target, the fewest copies first."""
+    rows = run_sql(spark, sf_dir, f"WITH {_HEALTH} SELECT block, left_ok, target FROM copies WHERE left_ok < target")
+    # Copies are few, block numbers below 2**40: one key has both.
+    return ordering.with_place(rows, F.col("left_ok") * (1 << 40) + F.col("block"), [F.col("left_ok"), F.col("block")])
+
+
+@query("merkle_buckets", """WITH ids AS (SELECT DISTINCT l_suppkey % 8 AS worker, l_orderkey AS block, l_linenumber % 5 = 0 AS lost FROM lineitem),
+both_ AS (SELECT worker, block // 16 % 1024 AS bucket, list_sort(list(DISTINCT block)) AS snapshot, coalesce(list_sort(list(DISTINCT block) FILTER (NOT lost)), []) AS reported FROM ids GROUP BY ALL)
+SELECT worker, bucket, CAST(len(snapshot) AS BIGINT) AS n, CAST(len(reported) AS BIGINT) AS n_reported, snapshot = reported AS matches FROM both_""")
+def merkle_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per worker, 1024 buckets of block numbers by prefix: the digest of the snapshot's ids against that of the reported ones.
+
+    A digest is the sum of the ids' hashes, so a bucket of any size is a running total and not a list; with the count it
+    tells sets apart as a hash of their sorted ids does."""
+    ids = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 8).alias("worker"), F.col("l_orderkey").alias("block")).agg(F.max((F.col("l_linenumber") % 5 != 0).cast("int")).alias("here"))
+    digest = F.xxhash64("block").cast("decimal(38,0)")
+    found = ids.groupBy("worker", F.floor(F.col("block") / 16).cast("long").alias("prefix")).agg(F.count(F.lit(1)).alias("n"), F.sum("here").alias("m"), F.sum(digest).alias("a"), F.sum(F.when(F.col("here") == 1, digest)).alias("b"))
+    found = found.groupBy("worker", (F.col("prefix") % 1024).alias("bucket")).agg(F.sum("n").alias("n"), F.sum("m").alias("n_reported"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return found.select("worker", "bucket", "n", "n_reported", ((F.col("n") == F.col("n_reported")) & F.col("a").eqNullSafe(F.col("b"))).alias("matches"))
+
+
+@query("expectation_diff", f"""WITH {placed.BIDS}, actual AS (SELECT DISTINCT l_orderkey AS block, concat('w', l_suppkey) AS node FROM lineitem),
+e AS (SELECT block, node FROM best WHERE place <= 3)
+SELECT block, node, 'absent' AS what FROM (SELECT * FROM e EXCEPT SELECT * FROM actual) UNION ALL SELECT block, node, 'unexpected' FROM (SELECT * FROM actual EXCEPT SELECT * FROM e)""")
+def expectation_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where placement wants a block against where it is."""
+    expected = placed.hrw_place(spark, sf_dir).select("block", "node", F.lit(True).alias("e"))
+    actual = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("block"), F.concat(F.lit("w"), "l_suppkey").alias("node")).distinct().withColumn("a", F.lit(True))
+    both = expected.join(actual, ["block", "node"], "full").where("e is null or a is null")
+    return both.select("block", "node", F.when(F.col("a").isNull(), "absent").otherwise("unexpected").alias("what"))
+
+
 sql_query("verify_outcome", """WITH s AS (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 7 <> 0), d AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS v FROM orders WHERE o_orderkey % 11 <> 0)
 SELECT CASE WHEN d.k IS NULL THEN 'missing' WHEN s.k IS NULL THEN 'extra' WHEN s.v = d.v THEN 'identical' ELSE 'mismatched' END AS outcome, count(*) AS n FROM s FULL OUTER JOIN d ON s.k = d.k
 GROUP BY CASE WHEN d.k IS NULL THEN 'missing' WHEN s.k IS NULL THEN 'extra' WHEN s.v = d.v THEN 'identical' ELSE 'mismatched' END""")
@@ -141,7 +200,13 @@ SELECT user_id, event_type, value FROM r WHERE rk = 1""")
 sql_query("wordcount", "SELECT word, count(*) AS n FROM (SELECT explode(split(text, '[ \\n]+')) AS word FROM documents) w WHERE word <> '' GROUP BY word".replace("\\n", "\\\\n"),
           "SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '[ \\n]+')) AS word FROM documents) w WHERE word <> '' GROUP BY word")
 sql_query("avg_by_group", "SELECT l_linenumber, round(avg(l_extendedprice), 4) AS mean_price, count(*) AS n FROM lineitem GROUP BY l_linenumber")
-sql_query("global_sort", "SELECT o_orderkey, o_totalprice, CAST(row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS BIGINT) AS place FROM orders")
+
+
+@query("global_sort", "SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS place FROM orders")
+def global_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordering.with_place(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), F.col("o_totalprice"), [F.col("o_totalprice"), F.col("o_orderkey")])
+
+
 sql_query("read_path_ratios", """WITH c AS (SELECT count(CASE WHEN event_type = 'view' THEN 1 END) AS lease, count(CASE WHEN event_type = 'click' THEN 1 END) AS resolve, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS master FROM events)
 SELECT lease, resolve, master, round(100e0 * lease / (lease + resolve + master), 1) AS lease_pct FROM c""")
 sql_query("quorum_ack_time", "WITH a AS (SELECT l_orderkey, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_linenumber) AS k FROM lineitem) SELECT l_orderkey, l_quantity AS ack FROM a WHERE k = 3")

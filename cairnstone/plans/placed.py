@@ -8,14 +8,10 @@ from ..functions import placement as P
 from ..registry import query
 from ..sources.tables import table
 
-#: Nodes of the cluster that hrw_place, hrw_disruption and modulo_place place on.
+#: Nodes of the ring that modulo_place places on; the others place on every supplier.
 NODES = 12
 
 
-def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _suppliers(spark, sf_dir).where(F.col("num") <= NODES)
-
-
 def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
     joined = s.join(n, s["s_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"])
@@ -40,21 +36,25 @@ q{k} AS (SELECT *, row_number() OVER (PARTITION BY block, rack ORDER BY score DE
 best{k} AS (SELECT block, node, rack, CAST(row_number() OVER (PARTITION BY block ORDER BY r > 1, score DESC, node) AS INTEGER) AS place FROM q{k})"""
 
 
-@query("hrw_place", f"WITH {_bids(f's_suppkey <= {NODES}')} SELECT * FROM best WHERE place <= 3")
+#: SQL of every block's ranking of nodes, as table best.
+BIDS = _bids("true")
+
+
+@query("hrw_place", f"WITH {BIDS} SELECT * FROM best WHERE place <= 3")
 def hrw_place(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.rendezvous32(_blocks(spark, sf_dir), _nodes(spark, sf_dir), 3)
+    return P.rendezvous32(_blocks(spark, sf_dir), _suppliers(spark, sf_dir), 3)
 
 
-@query("hrw_disruption", f"""WITH {_bids(f's_suppkey <= {NODES}')}, a AS (SELECT block, array_to_string(list_sort(list(node)), ',') AS nodes FROM best WHERE place <= 3 GROUP BY block),
-{_bids(f's_suppkey < {NODES}', '_less')},
+@query("hrw_disruption", f"""WITH {_bids('true')}, a AS (SELECT block, array_to_string(list_sort(list(node)), ',') AS nodes FROM best WHERE place <= 3 GROUP BY block),
+{_bids('s_suppkey < (SELECT max(s_suppkey) FROM supplier)', '_less')},
 b AS (SELECT block, array_to_string(list_sort(list(node)), ',') AS nodes FROM best_less WHERE place <= 3 GROUP BY block)
 SELECT count(*) AS blocks, count(CASE WHEN a.nodes <> b.nodes THEN 1 END) AS moved, round(count(CASE WHEN a.nodes <> b.nodes THEN 1 END) * 1e0 / count(*), 6) AS share FROM a JOIN b ON a.block = b.block""")
 def hrw_disruption(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks whose three nodes change when one of the nodes leaves: about three in the number of nodes."""
-    sets = [P.rendezvous32(_blocks(spark, sf_dir), _nodes(spark, sf_dir).where(F.col("num") <= n), 3).groupBy("block").agg(F.array_sort(F.collect_list("node")).alias("nodes")) for n in (NODES, NODES - 1)]
-    both = sets[0].join(sets[1].withColumnRenamed("nodes", "after"), "block")
-    moved = F.count_if(F.col("nodes") != F.col("after"))
-    return both.agg(F.count(F.lit(1)).alias("blocks"), moved.alias("moved"), F.round(moved / F.count(F.lit(1)), 6).alias("share"))
+    """Blocks whose three nodes change when the last of the nodes leaves: about three in the number of nodes."""
+    nodes = _suppliers(spark, sf_dir)
+    last = nodes.agg(F.max_by("node", "num")).first()[0]
+    found = P.disruption32(_blocks(spark, sf_dir), nodes, last, 3)
+    return found.select("blocks", "moved", F.round(F.col("moved") / F.col("blocks"), 6).alias("share"))
 
 
 @query("hrw_place_weighted")
