@@ -90,6 +90,51 @@ def ranked(indexed: DataFrame, phrases: list[list[str]]) -> DataFrame:
     return found.withColumn("score", score).drop("_len", "_n", "_avg", *hits, *[f"{h}_df" for h in hits])
 
 
+#: Folders that postings are dealt into by term: a query reads those of its terms alone.
+INDEX_PARTS = 64
+
+
+def _part(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(INDEX_PARTS)).cast("int")
+
+
+def append_index(entries: DataFrame, path: str) -> None:
+    """Adds entries to the index in path, or makes it. entries: project, key, revision, updated_at, id, deleted, title, content, tags.
+
+    heads has a row for each revision and its length, postings one for each of its terms and the term's weight. Nothing is
+    rewritten: a later revision, or a deletion, takes an earlier one's place when the index is read."""
+    own = ["project", "key", "revision"]
+    rows = folded_tokens(entries.withColumn("tags", F.array_join("tags", " ")), list(WEIGHTS))
+    size = sum((F.size(f"{c}_tokens") for c in WEIGHTS), F.lit(0))
+    rows.select(*own, "updated_at", "id", "deleted", size.alias("size")).write.mode("append").parquet(f"{path}/heads")
+    def weighted(column: str, weight: float) -> Column:
+        return F.transform(column, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
+
+    terms = F.concat(*[weighted(f"{c}_tokens", w) for c, w in WEIGHTS.items()])
+    found = rows.where("not deleted").select(*own, F.inline(terms)).groupBy(*own, "term").agg(F.sum("w").alias("f"))
+    found.withColumn("part", _part(F.col("term"))).repartition("part").write.mode("append").partitionBy("part").parquet(f"{path}/postings")
+
+
+def from_index(heads: DataFrame, postings: DataFrame, terms: list[str]) -> DataFrame:
+    """Entries that have every term, with a score: one scan of the terms' postings, joined with the entries' heads."""
+    terms = list(dict.fromkeys(terms))
+    last = heads.groupBy("project", "key").agg(F.max_by(F.struct("revision", "updated_at", "id", "size", "deleted"), "revision").alias("h"))
+    last = last.select("project", "key", "h.*").where("not deleted").drop("deleted")
+    parts = F.array(*[_part(F.lit(t)) for t in terms])
+    hit = postings.where(F.array_contains(parts, F.col("part")) & F.col("term").isin(terms))
+    names = [f"_f{i}" for i in range(len(terms))]
+    rows = last.join(hit.drop("part"), ["project", "key", "revision"]).groupBy(*last.columns).agg(*[F.coalesce(F.sum(F.when(F.col("term") == t, F.col("f"))), F.lit(0.0)).alias(n) for n, t in zip(names, terms)])
+    whole = last.agg(F.count(F.lit(1)).alias("_n"), F.avg("size").alias("_avg"))
+    seen = rows.agg(*[F.count_if(F.col(n) > 0).alias(f"{n}_df") for n in names])
+    score = F.lit(0.0)
+    for n in names:
+        idf = F.log((F.col("_n") - F.col(f"{n}_df") + 0.5) / (F.col(f"{n}_df") + 0.5))
+        score = score - F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf) * F.col(n) * (K1 + 1) / (F.col(n) + K1 * (1 - B + B * F.col("size") / F.col("_avg")))
+    # Two rows of one line each.
+    found = rows.where(reduce(lambda a, b: a & b, [F.col(n) > 0 for n in names])).crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(seen))
+    return found.select("project", "key", "revision", "updated_at", "id", score.alias("score"))
+
+
 def encoded(entry: dict) -> str:
     return json.dumps(entry, ensure_ascii=False, separators=(",", ":"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as X
@@ -50,6 +52,28 @@ def recall_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("key", F.round("score", 6).alias("score"), F.row_number().over(Window.orderBy(*order)).alias("place"))
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def _index_sql() -> str:
+    return _recall_sql().replace("lower(title)", "strip_accents(lower(title))").replace("lower(content)", "strip_accents(lower(content))").replace("lower(lang)", "strip_accents(lower(lang))")
+
+
+@query("recall_postings", _index_sql())
+def recall_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As recall_bm25, with the index's own tokens, over an index that is written once for each application and table."""
+    own = (spark.sparkContext.applicationId, sf_dir)
+    if own not in _indexes:
+        path = f"{spark.conf.get('spark.sql.warehouse.dir')}/cairnstone-index-{uuid.uuid4().hex}"
+        X.append_index(entries(spark, sf_dir).withColumn("deleted", F.lit(False)), path)
+        _indexes[own] = path
+    path = _indexes[own]
+    found = X.from_index(spark.read.parquet(f"{path}/heads"), spark.read.parquet(f"{path}/postings"), [t for q in X.query_terms(QUERY) for t in X.index_tokens(q)])
+    order = [F.round("score", 9), F.desc("updated_at"), F.desc("id")]
+    top = found.where(F.col("project") == PROJECT).orderBy(*order).limit(LIMIT + 1)
+    return top.select("key", F.round("score", 6).alias("score"), F.row_number().over(Window.orderBy(*order)).alias("place"))
+
+
 sql_query("recall_recent", "SELECT doc_id, doc_id % 97 * 1000 AS updated_at FROM documents WHERE source = 'src0' ORDER BY doc_id % 97 * 1000 DESC, doc_id DESC LIMIT 11")
 sql_query("memory_get", "SELECT doc_id, text, lang FROM documents WHERE source = 'src3' AND doc_id = (SELECT min(doc_id) FROM documents WHERE source = 'src3')")
 sql_query("memory_history_topn", """SELECT conv_id, turn, role, rk FROM (SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS BIGINT) AS rk FROM conversations) h WHERE rk <= 3""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import formatting as N
 from ..registry import query
@@ -86,14 +86,19 @@ def escape_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.md5(F.encode(N.escape_html(F.col("html")), "UTF-8")).alias("digest"))
 
 
-@query("usage_bars")
+@query("usage_bars", """WITH f AS (SELECT s_suppkey, CAST(floor(least(1, greatest(0, s_acctbal / 10000)) * 128 + 0.5) AS INTEGER) AS e FROM supplier)
+SELECT s_suppkey, rpad(concat(repeat('█', e // 8), list_extract(['', '▏', '▎', '▍', '▌', '▋', '▊', '▉'], e % 8 + 1)), 16, ' ') AS bar FROM f""")
 def usage_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "supplier")
     return rows.select("s_suppkey", N.bar(F.col("s_acctbal") / 10000, 16).alias("bar"))
 
 
-@query("sparklines")
+@query("sparklines", """WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders), l AS (SELECT * FROM r WHERE k <= 30),
+s AS (SELECT o_custkey, min(o_totalprice) AS low, CASE WHEN max(o_totalprice) > min(o_totalprice) THEN max(o_totalprice) - min(o_totalprice) ELSE 1 END AS span FROM l GROUP BY o_custkey)
+SELECT o_custkey, string_agg(substr('▁▂▃▄▅▆▇█', CAST(floor((o_totalprice - low) / span * 7 + 0.5) AS INTEGER) + 1, 1), '' ORDER BY k DESC) AS line FROM l JOIN s USING (o_custkey) GROUP BY o_custkey""")
 def sparklines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    series = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey", "o_totalprice"))), lambda s: s["o_totalprice"]).alias("v"))
-    return series.select("o_custkey", N.sparkline(F.slice("v", -F.least(F.size("v"), F.lit(30)), F.lit(30))).alias("line"))
-
+    """The last 30 orders of a customer; only those are gathered."""
+    last = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")))
+    rows = table(spark, sf_dir, "orders").withColumn("_k", last).where("_k <= 30")
+    series = rows.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("_k"), "o_totalprice"))), lambda s: s["o_totalprice"]).alias("v"))
+    return series.select("o_custkey", N.sparkline(F.col("v")).alias("line"))

@@ -115,3 +115,25 @@ def test_relevance_is_that_of_a_full_text_index(spark, q):
 def test_unwritten_store_is_empty(spark, tmp_path):
     s = Store(spark, str(tmp_path))
     assert s.recall("p")["memories"] == [] and s.log().where(F.lit(True)).count() == 0
+
+
+def test_an_index_follows_later_revisions_and_deletions(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from cairnstone.functions import text as X
+
+    schema = "project string, key string, revision long, updated_at long, id long, deleted boolean, title string, content string, tags array<string>"
+    first = [("p", "a", 1, 10, 1, False, "Über uns", "naïve words here", ["x"]), ("p", "b", 1, 11, 2, False, "uber", "other words", []), ("q", "c", 1, 12, 3, False, "plain", "words words", ["uber"])]
+    later = [("p", "a", 2, 20, 1, False, "renamed", "new words", []), ("q", "c", 2, 21, 3, True, None, None, None)]
+    path = str(tmp_path / "index")
+
+    def found(*terms):
+        rows = X.from_index(spark.read.parquet(f"{path}/heads"), spark.read.parquet(f"{path}/postings"), list(terms))
+        return {(r["project"], r["key"], r["revision"]) for r in rows.collect()}
+
+    X.append_index(spark.createDataFrame(first, schema), path)
+    assert found("uber") == {("p", "a", 1), ("p", "b", 1), ("q", "c", 1)} and found("naive", "uber") == {("p", "a", 1)}
+    X.append_index(spark.createDataFrame(later, schema), path)
+    assert found("uber") == {("p", "b", 1)} and found("words") == {("p", "a", 2), ("p", "b", 1)} and found("new", "renamed") == {("p", "a", 2)}
+    plan = X.from_index(spark.read.parquet(f"{path}/heads"), spark.read.parquet(f"{path}/postings"), ["uber"])._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and spark.read.parquet(f"{path}/postings").where(F.col("term") == "uber").select("part").distinct().count() == 1
