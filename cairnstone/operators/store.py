@@ -11,8 +11,10 @@ from __future__ import annotations
 import json
 import os
 import time
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as X
@@ -65,24 +67,29 @@ def heads(log: DataFrame) -> DataFrame:
 def fold_commits(requests: DataFrame) -> DataFrame:
     """What becomes of a batch of writes: requests (project, key, seq, op, expected) gain ok and revision.
 
-    Whether a write holds depends on all before it, so each key is folded in order in its own group; the fold
-    itself streams over the group's rows and holds two numbers."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
-        head = now = 0
-        ok, revision = [], []
-        for op, expected in zip(pdf["op"], pdf["expected"].fillna(0)):
-            good = int(expected) == now and (op == "put" or now > 0)
-            if good:
-                head += op == "put"
-                now = head if op == "put" else 0
-            ok.append(good)
-            revision.append(now)
-        return pd.DataFrame({"project": pdf["project"], "key": pdf["key"], "seq": pdf["seq"], "ok": ok, "revision": revision})
-
-    return requests.groupBy("project", "key").applyInPandas(run, "project string, key string, seq long, ok boolean, revision long")
+    Whether a write holds depends on all before it, so a key's writes are dealt to one task and sorted there, on disk
+    where need be; the fold streams over them and holds two numbers."""
+    schema = "project string, key string, seq long, ok boolean, revision long"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, head, now = None, 0, 0
+        for batch in batches:
+            ok, revision = [], []
+            columns = [batch.column(c).to_pylist() for c in ("project", "key", "op", "expected")]
+            for project, key, op, expected in zip(*columns):
+                if own != (project, key):
+                    own, head, now = (project, key), 0, 0
+                good = int(expected or 0) == now and (op == "put" or now > 0)
+                if good:
+                    head += op == "put"
+                    now = head if op == "put" else 0
+                ok.append(good)
+                revision.append(now)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:3]], pa.array(ok, pa.bool_()), pa.array(revision, pa.int64())], names)
+
+    rows = requests.select("project", "key", F.col("seq").cast("long").alias("seq"), "op", F.col("expected").cast("long").alias("expected"))
+    return rows.repartition("project", "key").sortWithinPartitions("project", "key", "seq").mapInArrow(run, schema)
 
 
 class Store:

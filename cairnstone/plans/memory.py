@@ -90,7 +90,15 @@ def recall_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "key string, n_chars long, truncated boolean, used_bytes long")
 
 
-@query("memory_cas_fold")
+_FOLD = """WITH RECURSIVE r AS (SELECT user_id, event_type = 'error' AS del, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq FROM events),
+q AS (SELECT user_id, del, seq, CASE WHEN event_id % 5 = 0 THEN 99 ELSE seq - 1 END AS expected FROM r),
+f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS head, CAST(0 AS BIGINT) AS now, false AS ok FROM events
+UNION ALL SELECT user_id, seq, CASE WHEN good AND NOT del THEN head + 1 ELSE head END, CASE WHEN NOT good THEN now WHEN del THEN 0 ELSE head + 1 END, good
+FROM (SELECT q.user_id, q.seq, q.del, f.head, f.now, q.expected = f.now AND (NOT q.del OR f.now > 0) AS good FROM f JOIN q ON q.user_id = f.user_id AND q.seq = f.seq + 1))
+SELECT 'p' AS project, CAST(user_id AS VARCHAR) AS key, seq, ok, now AS revision FROM f WHERE seq > 0"""
+
+
+@query("memory_cas_fold", _FOLD)
 def memory_cas_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as writes: a key is a user, an error deletes, every fifth write expects a stale revision."""
     e = table(spark, sf_dir, "events")
