@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         own = spark.sparkContext.getCheckpointDir()
+        if not own and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not own:
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cairnstone-"))
             own = spark.sparkContext.getCheckpointDir()

@@ -11,8 +11,10 @@ doc_id; overlapping runs merge into maximal repeats.
 
 Null and empty texts have no words and lose none. Of rows with equal doc_id
 neither is smaller; each keeps its own row. A null doc_id is
-larger than any other, and two nulls don't remove from each other. Empty tables
-give empty results, and columns other than id and text are not read.
+larger than any other, and two nulls don't remove from each other. Texts of any
+length are cut whole, and a stretch that one text repeats stays unless another
+document has it. Empty tables give empty results, and columns other than id and
+text are not read.
 """
 
 from __future__ import annotations
@@ -54,8 +56,8 @@ def _fingerprints(window: int, seed: int):
             row = _document(first, at)
             new = np.ones(len(at), bool)
             new[1:] = (least[1:] != least[:-1]) | (row[1:] != row[:-1])
-            ids = batch.column("doc_id").take(pa.array(row[new]))
-            yield pa.RecordBatch.from_arrays([pa.array(K.signed(least[new])), ids], ["seed", "doc_id"])
+            rows = pa.array(row[new])
+            yield pa.RecordBatch.from_arrays([pa.array(K.signed(least[new])), batch.column("doc_id").take(rows), batch.column("v").take(rows)], ["seed", "doc_id", "v"])
 
     return run
 
@@ -146,14 +148,15 @@ def repeated_starts(docs: DataFrame, window: int = 50, seed: int = 8, filter_bit
 
     docs: doc_id, text, and v, a hash of the text that tells rows of one doc_id apart. window - seed is at most 62."""
     sc = docs.sparkSession.sparkContext
-    prints = docs.mapInArrow(_fingerprints(window, seed), "seed long, doc_id long")
+    prints = docs.mapInArrow(_fingerprints(window, seed), "seed long, doc_id long, v int")
     order = F.coalesce("doc_id", F.lit(_LAST))
     seeds = materialise(prints.groupBy("seed").agg(F.min(order).alias("a"), F.max(order).alias("b")).where("a <> b").select("seed"), "seeds")
     if seeds.count() <= 1 << (filter_bits - 2):
         wanted, around = sc.broadcast(bitmap(seeds, "seed", FILTER_BITS)), docs
     else:
-        own = prints.join(seeds, "seed").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds"))
-        wanted, around = None, docs.join(own, docs["doc_id"].eqNullSafe(own["doc_id"])).select(docs["doc_id"], "text", "v", "seeds")
+        # By text too, so that rows of one doc_id, or of none, don't gather in one.
+        own = prints.join(seeds, "seed").groupBy("doc_id", "v").agg(F.collect_set("seed").alias("seeds"))
+        wanted, around = None, docs.join(own, docs["doc_id"].eqNullSafe(own["doc_id"]) & (docs["v"] == own["v"])).select(docs["doc_id"], "text", docs["v"], "seeds")
 
     def meet(rows: DataFrame) -> DataFrame:
         return rows.join(rows.groupBy("h", "h2").agg(F.min(order).alias("low")), ["h", "h2"])
