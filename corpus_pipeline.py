@@ -1,7 +1,14 @@
 """Corpus pipeline over documents: toxicity, line dedup, near duplicates, benchmark decontamination, BPE.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor
-kept. All but the last return the columns of documents.
+kept. All but the last return the columns of documents; other columns of docs,
+whatever their names, are left behind.
+
+A null or empty text is neither toxic nor a duplicate nor contaminated: it stays,
+and has no tokens. A null doc_id is kept like any other; it is never labelled, and
+of near copies all rows without an id stay. Repeated rows are judged alike, rows of
+one doc_id each by their own text. Ties of near copies go to the smallest doc_id.
+Texts of any length are read whole, and empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -30,19 +37,19 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays."""
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays; a text without words is no duplicate."""
     ship(spark)
     return ngram_join.keep_one(docs.select(COLUMNS), 5, 80)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Rows whose text holds a benchmark item go."""
     ship(spark)
     return decontaminate.clean(docs.select(COLUMNS), load(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document left."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row left."""
     ship(spark)
     return bpe.digest(bpe.encode_and_decode(docs))
 
