@@ -9,8 +9,10 @@ quantile of its members' cosines less MARGIN.
 
 A null text, or one without a letter, is `und` with score 0 and rejected; so is
 every text if there is nothing to learn from. Repeated rows give equal rows,
-texts are read whole, empty tables give empty results. Other columns are never
-inputs of a prediction.
+texts of any length are read whole, empty tables give empty results. A null doc_id
+is kept and predicted, its fold that of the empty text. Of centroids equally near
+the first by language, then by number, has it. Other columns are never inputs of a
+prediction.
 """
 
 from __future__ import annotations

@@ -10,8 +10,9 @@ corrected for how the sample weighs the classes.
 
 A null or empty text has no vector and takes the labelled rows' share of label
 1, as does every text if there is nothing to learn from (0.5 then). Repeated
-rows give equal rows, texts are read whole, empty tables give empty results.
-Only text is an input of a score.
+rows give equal rows, texts of any length are read whole, empty tables give empty
+results. A null doc_id is kept and scored, and is never labelled. Of neighbours
+equally near at the end of the list any may vote. Only text is an input of a score.
 """
 
 from __future__ import annotations

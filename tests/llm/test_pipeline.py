@@ -36,6 +36,19 @@ def test_stages_keep_and_drop_what_they_should(spark, tmp_path):
     assert {r["doc_id"] for r in out.collect()} == left["bpe"]
 
 
+def test_odd_rows_through_all_stages(spark, tmp_path):
+    """Null and repeated ids, repeated rows, null and empty texts, a very long text; clean rows all come out."""
+    long = " ".join(words(800, 30_000, 9000))
+    item = " ".join(words(801, 30, 9000))
+    a, b, c = (" ".join(words(802 + i, 60, 9000)) for i in range(3))
+    rows = [(None, a), (None, None), (1, None), (1, ""), (2, b), (2, b), (2, c), (3, long), (4, c + " " + item), (4, " ".join(words(806, 60, 9000))), (None, " ".join(words(807, 60, 9000)) + " " + item), (5, b + " end")]
+    documents(spark, rows).select(P.COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(2, 0), (None, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item), (2, None), (None, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = sorted((repr(r["doc_id"]), r["n_tokens"] > 0) for r in P.run(spark, str(tmp_path)).collect())
+    assert got == sorted([("None", True), ("None", False), ("1", False), ("1", False), ("2", True), ("2", True), ("2", True), ("3", True), ("4", True)])
+
+
 def test_stages_on_empty_documents(spark, empty):
     docs = empty.select(P.COLUMNS)
     for name, stage in P.STAGES:
