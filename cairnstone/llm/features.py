@@ -102,9 +102,15 @@ def fold(parts: int) -> F.Column:
     return F.pmod(F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")), F.lit(parts))
 
 
-def share(n: int, most: int) -> F.Column:
-    """Keeps about most of n rows, by a hash of doc_id; all of them if there are no more."""
-    return F.pmod(F.xxhash64(F.lit(97), "doc_id"), F.lit(1_000_000)) < F.lit(1_000_000 if n <= most else int(1_000_000 * most / n))
+def share(n: int, most: int, *columns: str) -> F.Column:
+    """Keeps about most of n rows, by a hash of doc_id and the given columns; all of them if there are no more."""
+    return F.pmod(F.xxhash64(F.lit(97), "doc_id", *columns), F.lit(1_000_000)) < F.lit(1_000_000 if n <= most else int(1_000_000 * most / n))
+
+
+def texts_of(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """(y, text) of the sampled ids, the least text of each: however many rows have one id, it is one row."""
+    rows = docs.where("text is not null").join(F.broadcast(sample), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("text").alias("text")).select("y", "text")
 
 
 def labelled(labels: DataFrame, column: str, most: int) -> tuple[DataFrame, dict[int, int], dict[int, int]]:

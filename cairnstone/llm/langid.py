@@ -62,8 +62,8 @@ def fit(train: DataFrame, sample_rows: int = SAMPLE_ROWS, k: int = CENTROIDS) ->
     idf = X.inverse_frequencies(train, X.LETTERS)
     each, keep = max(1, sample_rows // len(sizes)), F.lit(False)
     for lang, n in sizes.items():
-        keep = keep | ((F.col("lang") == lang) & X.share(n, each))
-    langs, x = X.vectors(train.where(keep), X.LETTERS, idf, "lang", "string")
+        keep = keep | ((F.col("lang") == lang) & X.share(n, each, "text"))
+    langs, x = X.vectors(train.where(keep).select("doc_id", "lang", "text").distinct(), X.LETTERS, idf, "lang", "string")
     langs = np.array(langs, dtype=object)
     names, centres, limits = [], [], []
     for i, lang in enumerate(sorted(set(langs))):

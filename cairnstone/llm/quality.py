@@ -67,7 +67,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, late
     if not sizes:
         return None
     idf = X.inverse_frequencies(docs, X.SHAPE)
-    rows = docs.where("text is not null").join(F.broadcast(sample), "doc_id").select("y", "text")
+    rows = X.texts_of(docs, sample)
     y, x = X.vectors(rows, X.SHAPE, idf, "y", "int")
     if not len(y):
         return None

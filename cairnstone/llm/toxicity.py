@@ -303,7 +303,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     if not sizes.get(1) or not kept.get(1):
         return Model({}, -4.0, source)
     up = {y: sizes[y] / kept[y] for y in kept}
-    rows = docs.where("text is not null").join(F.broadcast(sample), "doc_id").select("y", "text")
+    rows = X.texts_of(docs, sample)
     found = rows.mapInArrow(_sample_features, "feature string, y int, n long")
     n = [F.coalesce(F.sum(F.when(F.col("y") == y, F.col("n"))), F.lit(0)) for y in (0, 1)]
     found = materialise(found.groupBy("feature").agg(n[0].alias("n0"), n[1].alias("n1")), "features")

@@ -30,6 +30,12 @@ def test_language_edges(spark, edge, empty):
     assert langid.fit(train.limit(0)) is None
 
 
+def test_rows_of_one_id_are_one_sampled_row(spark):
+    docs = documents(spark, [(1, f"text {i}") for i in range(300)] + [(1, None), (2, "other"), (None, "none")])
+    sample = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, y int")
+    assert sorted(map(tuple, features.texts_of(docs, sample).collect())) == [(0, "other"), (1, "text 0")]
+
+
 def test_grams_stay_in_their_text():
     import pyarrow as pa
 
