@@ -43,7 +43,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             x[0] = U(1)
             out.append(np.multiply.accumulate(x))
         have = out
-        if n <= 4 * SLICE_BYTES:  # those of a longer text are not kept
+        if n <= 5 * SLICE_BYTES // 4:  # those of a larger slice are not kept: a worker outlives its task
             _powers[base] = out
     return have[0][:n], have[1][:n]
 
