@@ -137,10 +137,10 @@ def orders(docs: DataFrame, k: int, lower: bool) -> tuple[bytes, bytes]:
         if total > FREQUENT_ENTRIES:
             break
         least = step["rank"]
-    rows = counts.select("token", F.floor(F.log2("n") * 4).cast("int").alias("rank")).where(F.col("rank") >= least).toPandas()
-    tokens = rows["token"].to_numpy(np.int64).view(K.U)
+    rows = counts.select("token", F.floor(F.log2("n") * 4).cast("int").alias("rank")).where(F.col("rank") >= least).toArrow()  # a million rows at most: as Python rows they would not fit a small driver
+    tokens = rows["token"].to_numpy().view(K.U)
     order = np.argsort(tokens)
-    return tokens[order].tobytes(), np.minimum(rows["rank"].to_numpy(np.int64), 255)[order].astype(np.uint8).tobytes()
+    return tokens[order].tobytes(), np.minimum(rows["rank"].to_numpy(), 255)[order].astype(np.uint8).tobytes()
 
 
 def long_sketch(x: np.ndarray) -> bytes:
@@ -355,6 +355,7 @@ def _jaccard(docs: DataFrame, k: int, percent: int, lower: bool) -> DataFrame:
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + F.lit(1e-9)).cast("int")
     lists = postings.join(shared, "token", "left_semi").select(F.explode(F.array(band, band + 1)).alias("band"), "token", "fp", "n")
     lists = materialise(lists.select(F.xxhash64("token", "band").alias("key"), "fp", "n").distinct(), "lists")
+    wanted.unpersist()
 
     def grouped(lists: DataFrame) -> DataFrame:
         """(b, a): a pivot, and each other set of its lists."""
@@ -393,6 +394,8 @@ def _jaccard(docs: DataFrame, k: int, percent: int, lower: bool) -> DataFrame:
             of = docs.join(ends.select("key").distinct(), F.coalesce("doc_id", F.lit(0)) == F.col("key"), "left_semi")
         more = of.select("doc_id", "text").mapInArrow(_sets(k, lower, percent, table, wanted), "fp long, tokens binary, p2 array<int>, p3 array<int>")
         more = materialise(more.join(ends.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "tokens")
+        if wanted is not None:
+            wanted.unpersist()
         full = more if full is None else full.unionByName(more)
 
     def with_tokens(pairs: DataFrame) -> DataFrame:

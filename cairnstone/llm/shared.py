@@ -61,13 +61,15 @@ def materialise_by(df: DataFrame, name: str, key: str) -> DataFrame:
 
 
 def bitmap(keys: DataFrame, column: str, bits_log2: int) -> bytes:
-    """A bit for each pmod(key, 2**bits_log2). The driver receives at most 2**bits_log2 / 64 longs, whatever the input."""
+    """A bit for each pmod(key, 2**bits_log2). The driver receives at most 2**bits_log2 / 64 longs, whatever the input, in
+    Arrow batches: as Python rows the 4 M longs of the largest filter would not fit a small driver."""
     import numpy as np
 
     bit = F.pmod(F.col(column), F.lit(1 << bits_log2))
-    words = keys.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    words = keys.select(F.shiftright(bit, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
     out = np.zeros(1 << (bits_log2 - 6), np.int64)
-    out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    for batch in words.toArrow().to_batches():
+        out[batch.column("w").to_numpy()] = batch.column("b").to_numpy()
     return out.tobytes()
 
 

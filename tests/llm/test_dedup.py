@@ -202,3 +202,24 @@ def test_digest_of_substrings(spark):
     r = substring.op6_substring_dedup(spark, SF).orderBy("doc_id").first()
     text = spark.read.parquet(f"{SF}/documents.parquet").where(F.col("doc_id") == r["doc_id"]).first()["text"]
     assert r["n_removed"] or r["kept_sha256"] == hashlib.sha256(" ".join(WORD.findall(text)).encode()).hexdigest()
+
+
+def test_filters_reach_the_driver_without_python_rows(spark):
+    """A filter costs the driver little more than its own bytes."""
+    import tracemalloc
+
+    import numpy as np
+
+    from cairnstone.llm import kernels as K
+    from cairnstone.llm.shared import bitmap
+
+    keys = spark.range(1 << 18).select(F.xxhash64("id").alias("k"))
+    want = keys.toArrow()["k"].to_numpy()
+    bitmap(keys.limit(1), "k", 16)
+    tracemalloc.start()
+    out = bitmap(keys, "k", 22)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    bits = np.frombuffer(out, np.int64)
+    assert K.in_bitmap(bits, 22, want).all() and np.bitwise_count(bits.view(np.uint64)).sum() == len(np.unique(want.view(np.uint64) % np.uint64(1 << 22)))
+    assert peak < 6 * len(out)
