@@ -57,10 +57,15 @@ _NOTHING = -(1 << 62)
 
 
 def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of all texts, and the first word of each text."""
-    data, offsets = K.texts(pc.utf8_lower(column.cast(pa.large_string())))
-    starts, ends, first = K.spans(data, offsets, _WORD)
-    return K.hashes(data, starts, ends), first
+    """Word hashes of all texts, and the first word of each text, read a part at a time: hashing takes tens of bytes of memory for each byte."""
+    hashes, first, total = [np.zeros(0, K.U)], [np.zeros(1, np.int64)], 0
+    for part in K.cut(pa.RecordBatch.from_arrays([column], ["text"])):
+        data, offsets = K.texts(pc.utf8_lower(part.column("text").cast(pa.large_string())))
+        starts, ends, at = K.spans(data, offsets, _WORD)
+        hashes.append(K.hashes(data, starts, ends))
+        first.append(at[1:] + total)
+        total += len(starts)
+    return np.concatenate(hashes), np.concatenate(first)
 
 
 def shared(distinct: np.ndarray, counts: np.ndarray, part: np.ndarray) -> int:

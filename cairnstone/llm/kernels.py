@@ -63,18 +63,23 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+def cut(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about limit bytes of text and at most so many rows."""
+    if not batch.num_rows:
+        return
+    _, offsets = texts(batch.column(batch.schema.get_field_index(text)))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+        end = min(end, at + rows)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """All batches, cut; at the end freed memory goes back to the system."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        _, offsets = texts(batch.column(batch.schema.get_field_index(text)))
-        at = 0
-        while at < batch.num_rows:
-            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
-            end = min(end, at + rows)
-            yield batch.slice(at, end - at)
-            at = end
+        yield from cut(batch, text, limit, rows)
     release()
 
 

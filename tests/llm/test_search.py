@@ -167,3 +167,18 @@ def test_coordinate_pruning_is_sound():
         low, high = products.feasible(u[0, 1], cosine)
         near = u[u @ u[0] >= cosine]
         assert ((near[:, 1] >= low) & (near[:, 1] <= high)).all()
+
+
+def test_hashing_a_large_slice_takes_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    column = pa.array([None, "", *[" ".join(words(i, 500, 3000)) for i in range(1700)]])
+    whole, first = decontaminate.words(column)
+    tracemalloc.start()
+    decontaminate.words(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert first[-1] == len(whole) == 850_000 and first[:3].tolist() == [0, 0, 0] and np.array_equal(whole[-500:], decontaminate.words(column.slice(1701))[0])
+    assert peak < 100 << 20
