@@ -111,6 +111,39 @@ def test_weighted_query_places_on_every_supplier(spark):
     assert len(listed) > placed.NODES and got == [r for b in sorted({g[0] for g in got}) for r in weighted_by_hand(b, listed, 3)]
 
 
+@pytest.mark.parametrize("m, n", [(65, 3), (300, 7), (20_000, 3)])
+def test_high_bids_place_as_all_bids_do(m, n):
+    """Tiles, the table of high scores (20 000 nodes, near blocks), racks that high bids leave out, nodes without weight."""
+    r = np.random.default_rng(m)
+    rack, num = np.minimum(r.geometric(0.3, m) - 1, 4), np.arange(m)
+    rack[:5] = range(5)
+    weight = np.where(num % 50 == 7, 0.0, 1.0 + num % 3)
+    for bids in (P.Bids32(num), P.Bids64(num, weight)):
+        for blocks in (np.arange(5000, 5200), np.unique(r.integers(0, 1 << 32, 40))):
+            want = np.concatenate([P._chosen(bids.all(blocks[i : i + 8]), P._racks(rack), n) for i in range(0, len(blocks), 8)])
+            assert (P._best(bids, blocks, rack, n) == want).all()
+    dense, bids = np.arange(1 << 15), P.Bids32(num)
+    got = P._best(bids, dense, rack, n)
+    some = np.arange(0, 1 << 15, 1111)
+    assert (got[some] == np.concatenate([P._chosen(bids.all(dense[i : i + 1]), P._racks(rack), n) for i in some])).all()
+    assert (bids.numbers is not None) == (m == 20_000)
+
+
+@pytest.mark.parametrize("most", [1 << 20, 5])
+def test_disruption_of_many_nodes(spark, monkeypatch, most):
+    monkeypatch.setattr(P, "MOST_NODES", most)
+    m = 5000 if most > 5 else 30
+    blocks, at = spark.range(300).withColumnRenamed("id", "block"), nodes(spark, m)
+    gone, rack, num = f"w{m}", np.arange(1, m + 1) % 3, np.arange(1, m + 1)
+    order = np.argsort([f"w{i}" for i in num])
+    rack, num = rack[order], num[order]
+    kept = num != m
+    before = num[P._chosen(P.score32(np.arange(300), num), P._racks(rack), 3)]
+    after = num[kept][P._chosen(P.score32(np.arange(300), num[kept]), P._racks(rack[kept]), 3)]
+    moved = (np.sort(before, 1) != np.sort(after, 1)).any(1).sum()
+    assert tuple(P.disruption32(blocks, at, gone, 3).first()) == (300, moved)
+
+
 def test_modulo_rule():
     ring = [("a", "r1"), ("b", "r1"), ("c", "r2"), ("d", "r2"), ("e", "r3")]
     assert P.modulo(ring, 0) == ["a", "c", "d"] and P.modulo(ring, 3) == ["d", "e"] and P.modulo(ring, 4) == ["e", "a", "b"]
