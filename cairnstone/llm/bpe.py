@@ -47,6 +47,8 @@ CALL_WORDS = 1 << 12
 DECODE_BYTES = 1 << 20
 #: Numbers, or words of texts, handled at once.
 PART = 1 << 17
+#: Bytes of text split, or of ids read as text, at once: either takes tens of bytes of memory for each byte.
+SLICE_BYTES = 1 << 18
 # White space of the tokenizer's pattern besides the blank.
 _SPACES = [*range(9, 14), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Kinds of characters.
@@ -197,6 +199,7 @@ def _blocks(special: dict[str, int], buckets: int, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        forget()
         block = TaskContext.get().partitionId() << 32
         held: list[tuple] = []
         size = 0
@@ -222,7 +225,7 @@ def _blocks(special: dict[str, int], buckets: int, block_bytes: int):
                 body = length[at[group]].astype("<u4").tobytes() + words.tobytes()
                 yield row(block, int(bucket[group[0]]), None, None, None, None, len(group).to_bytes(4, "little") + _pressed(body))
 
-        for batch in K.slices(batches, limit=min(K.SLICE_BYTES, block_bytes)):
+        for batch in K.slices(batches, limit=min(SLICE_BYTES, block_bytes)):
             data, offsets = K.texts(batch.column("text"))
             starts, first = find(data, offsets, special)
             ends = np.append(starts[1:], len(data)) if len(starts) else starts
@@ -276,6 +279,13 @@ def tokenizer(spec: str):
     return _tokenizers[spec]
 
 
+def forget() -> None:
+    """For workers that encode no words: they may have done so in a task before, and hold the tokenizer and what it remembers."""
+    if _tokenizers:
+        _tokenizers.clear()
+        K.release()
+
+
 class Encoder:
     """Words and their ids, each encoded once."""
 
@@ -324,6 +334,7 @@ def _by_position(asking: bool):
     """A block's texts as ids; asking: with the rows that ask for the pieces of ids."""
 
     def run(texts: pa.Table, encoded: pa.Table) -> pa.Table:
+        forget()
         out = _positioned(texts, encoded)
         return pa.Table.from_batches(_distinct_ids(_ENCODED)(iter(out.to_batches())), out.schema.append(pa.field("_id", pa.int32())).append(pa.field("_rest", pa.int32()))) if asking else out
 
@@ -427,6 +438,7 @@ def _decode(names: list[str]):
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], [*names, "decoded"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         rows, ids, found, due = [], [], [], 0
         for batch in batches:
             is_row = pc.is_null(batch.column("_id")).to_numpy(zero_copy_only=False)
@@ -447,11 +459,12 @@ def _decode(names: list[str]):
                     if len(known) != due or (np.diff(known) <= 0).any():
                         raise RuntimeError("the join with the pieces has changed the order of its rows")
                     for r in rows:
-                        if r.num_rows:
-                            yield decoded(r, known, found)
+                        for some in K.cut(r, "ids", SLICE_BYTES):
+                            yield decoded(some, known, found)
                     rows, ids, found, due = [], [], [], 0
         if due:
             raise RuntimeError("the join with the pieces has lost rows")
+        K.release()
 
     return run
 

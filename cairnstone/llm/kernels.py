@@ -84,7 +84,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
 
 
 def release() -> None:
-    """Gives freed memory back to the system; a Python worker outlives its task."""
+    """Gives freed memory and the tables of powers back to the system; a Python worker outlives its task."""
+    _powers.clear()
     pa.default_memory_pool().release_unused()
     if _trim:
         _trim(0)

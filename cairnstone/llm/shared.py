@@ -60,6 +60,13 @@ def materialise_by(df: DataFrame, name: str, key: str) -> DataFrame:
         spark.sql(f"DROP TABLE {table}")
 
 
+def shrink(spark: SparkSession) -> None:
+    """Lets the executors give heap back that they no longer use: it grows with each step's garbage, up to its limit, and
+    Python workers of later steps need memory beside it. One short task for each core."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def bitmap(keys: DataFrame, column: str, bits_log2: int) -> bytes:
     """A bit for each pmod(key, 2**bits_log2). The driver receives at most 2**bits_log2 / 64 longs, whatever the input, in
     Arrow batches: as Python rows the 4 M longs of the largest filter would not fit a small driver."""

@@ -68,3 +68,12 @@ def test_predictions_do_not_see_labels(spark):
     import zlib
 
     assert all(r["f"] == zlib.crc32(str(r["doc_id"]).encode()) % 5 for r in ids.collect())
+
+
+def test_stages_give_back_what_the_one_before_left_unused(spark, empty):
+    beans = list(spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans())
+    collected = lambda: sum(b.getCollectionCount() for b in beans if "Young" not in b.getName())
+    for name, stage in P.STAGES[1:]:
+        before = collected()
+        stage(spark, empty.select(P.COLUMNS), "/root/testdata/sf0.001")
+        assert collected() > before, name

@@ -1,12 +1,15 @@
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from conftest import words
 from pyspark.sql import functions as F
 
-from cairnstone.llm import bpe, sharding
+from cairnstone.llm import bpe, kernels, sharding
 
 
 def test_every_record_has_one_place(spark, edge, edge_rows):
@@ -163,3 +166,41 @@ def test_bpe_of_nothing(spark, empty):
     assert bpe.encode(empty).count() == 0
     d = bpe.digest(bpe.encode_and_decode(spark.createDataFrame([(1, None)], "doc_id long, text string"))).first()
     assert d["n_tokens"] == 0 and d["ids_sha256"] == d["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def peak(run):
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_workers_take_little_memory(monkeypatch):
+    """4 MB of text, and a run of 1 MB of ids that stand for 4 MB."""
+    from pyspark import TaskContext
+
+    class Context:
+        def partitionId(self):
+            return 0
+
+    monkeypatch.setattr(TaskContext, "get", staticmethod(Context))
+    bpe.kinds()
+    texts = pa.array([" ".join(words(i, 500)) for i in range(2000)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), texts], ["doc_id", "text"])
+    assert peak(lambda: [r.num_rows for r in bpe._blocks({}, 7, 4 << 20)(iter([batch]))]) < 45e6
+    rows = [np.arange(1 << 12, dtype="<u4").tobytes()] * 64
+    kinds = [("ids", pa.binary()), ("_id", pa.int32()), ("_rest", pa.int32()), ("piece", pa.binary())]
+    asked = [(r, None, 1 << 12, None) for r in rows] + [(None, i, (1 << 12) - 1 - i, b"%16d" % i) for i in range(1 << 12)]
+    met = pa.RecordBatch.from_arrays([pa.array([a[k] for a in asked], t) for k, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
+    read = []
+    assert peak(lambda: read.extend(r.num_rows for r in bpe._decode(["ids"])(iter([met])))) < 40e6
+    assert sum(read) == 64
+
+
+def test_a_worker_holds_no_tables_of_tasks_before():
+    bpe.tokenizer(bpe.tokenizer_json())
+    kernels.powers(3, 1 << 20)
+    assert list(bpe._decode(["ids"])(iter([]))) == []
+    assert not bpe._tokenizers and not kernels._powers
