@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from . import kernels as K
-from .shared import BROADCAST_BYTES, load, materialise_by
+from .shared import BROADCAST_BYTES, load, materialise_by, shrink
 
 #: Text bytes of a block.
 BLOCK_BYTES = 16 << 20
@@ -168,12 +168,19 @@ def _packed(x: np.ndarray) -> bytes:
 
 def _unpacked(raw: bytes) -> np.ndarray:
     b = np.frombuffer(_unpressed(raw), np.uint8)
-    ends = np.flatnonzero(b < 128).astype(np.int32) + np.int32(1)
-    starts = np.concatenate((np.zeros(min(1, len(ends)), np.int32), ends[:-1]))
-    out = np.zeros(len(ends), np.int32)
-    for i in range(4):
-        has = ends - starts > i
-        out[has] |= (b[starts[has] + i].astype(np.int32) & 127) << np.int32(7 * i)
+    out = np.zeros(np.count_nonzero(b < 128), np.int32)
+    at = done = 0
+    while at < len(b):
+        stop = min(at + PART, len(b))
+        while b[stop - 1] >= 128:
+            stop += 1
+        ends = np.flatnonzero(b[at:stop] < 128) + at + 1
+        starts = np.concatenate(([at], ends[:-1]))
+        part = out[done : done + len(ends)]
+        for i in range(4):
+            has = ends - starts > i
+            part[has] |= (b[starts[has] + i].astype(np.int32) & 127) << np.int32(7 * i)
+        at, done = stop, done + len(ends)
     return out
 
 
@@ -206,17 +213,25 @@ def _blocks(special: dict[str, int], buckets: int, block_bytes: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             # The same word of several slices becomes one.
-            sizes = [len(h[2]) for h in held]
             hashes, at, own = distinct(np.concatenate([h[2] for h in held]))
-            places = np.concatenate([p[h[3]] for p, h in zip(np.split(own, np.cumsum(sizes)[:-1]), held)])
-            order = np.argsort(-np.bincount(places, minlength=len(hashes)), kind="stable")
+            places, a, w = np.empty(sum(len(h[3]) for h in held), np.int32), 0, 0
+            count = np.zeros(len(hashes), np.int64)
+            for h in held:
+                part = places[a : a + len(h[3])]
+                np.take(own[w : w + len(h[2])], h[3], out=part)
+                count += np.bincount(part, minlength=len(hashes))
+                a, w = a + len(part), w + len(h[2])
+            order = np.argsort(-count, kind="stable")
             rank = np.empty(len(order), np.int32)
             rank[order] = np.arange(len(order), dtype=np.int32)
             bucket = (K.mix(hashes, 5) % K.U(buckets)).astype(np.int32)[order]
             ids, n = [i for h in held for i in h[0]], np.concatenate([h[1] for h in held])
             length, text = np.concatenate([h[4] for h in held]), np.concatenate([h[5] for h in held])
             held.clear()
-            yield row(block, None, ids, n, _packed(rank[places]), _packed(bucket), None)
+            del h, part
+            for a in range(0, len(places), PART):
+                places[a : a + PART] = rank[places[a : a + PART]]
+            yield row(block, None, ids, n, _packed(places), _packed(bucket), None)
             del places, ids, n
             start, at = np.cumsum(length) - length, at[order]
             by = np.argsort(bucket, kind="stable")
@@ -388,6 +403,7 @@ def _encode(docs: DataFrame, path: str | None, id: str, text: str, block_bytes:
         buckets = int(min(BUCKETS, max(1, -(-total // BUCKET_BYTES))))
     # Dealt by block as they are written, places need no shuffle to meet their ids.
     blocks = materialise_by(docs.mapInArrow(_blocks(_special(spec), buckets, block_bytes), _BLOCK), "blocks", "block")
+    shrink(docs.sparkSession)
     words = word_table(blocks, spec)
     texts = blocks.where("bucket is null").select("block", "ids", "n", "places", "buckets")
     return texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_by_position(asking), "doc_id long, n_tokens long, ids binary" + ", _id int, _rest int" * asking)
@@ -492,4 +508,6 @@ def digest(decoded: DataFrame) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(encode_and_decode(load(spark, sf_dir, "documents")))
+    docs = load(spark, sf_dir, "documents")
+    shrink(spark)
+    return digest(encode_and_decode(docs))

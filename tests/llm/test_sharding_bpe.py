@@ -199,6 +199,24 @@ def test_workers_take_little_memory(monkeypatch):
     assert sum(read) == 64
 
 
+def test_numbers_of_a_block_are_read_a_part_at_a_time(monkeypatch):
+    x = np.array([0, 127, 128, 1 << 14, (1 << 21) - 1, 1 << 21, (1 << 28) - 1, 5] * 3)
+    for part in (1, 2, 3, 7, 1 << 17):
+        monkeypatch.setattr(bpe, "PART", part)
+        assert bpe._unpacked(bpe._packed(x)).tolist() == x.tolist()
+        assert len(bpe._unpacked(bpe._packed(x[:0]))) == 0
+    raw = bpe._packed(np.arange(1 << 21))
+    assert peak(lambda: bpe._unpacked(raw)) < 30e6
+
+
+def test_bpe_gives_back_unused_heap_before_it_splits_and_before_it_encodes(spark):
+    beans = list(spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans())
+    collected = lambda: sum(b.getCollectionCount() for b in beans if "Young" not in b.getName())
+    before = collected()
+    bpe.op5_bpe(spark, "/root/testdata/sf0.001")
+    assert collected() >= before + 2
+
+
 def test_a_worker_holds_no_tables_of_tasks_before():
     bpe.tokenizer(bpe.tokenizer_json())
     kernels.powers(3, 1 << 20)
